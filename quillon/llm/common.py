@@ -38,6 +38,25 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Numbers that are summed at once.
+BLOCK = 256
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each long of an array the sum of those before it; in blocks, so that long arrays don't take quadratic time."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    last = F.floor((F.size(numbers) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(numbers, b * BLOCK + 1, BLOCK))
+
+    def inside(part: Column, at: Column) -> Column:
+        return F.transform(part, lambda _, j: at + total(F.slice(part, F.lit(1), j)))
+
+    def placed(parts: Column) -> Column:
+        return let(F.transform(parts, total), lambda sums: F.flatten(F.transform(parts, lambda part, i: let(total(F.slice(sums, F.lit(1), i)), lambda at: inside(part, at)))))
+
+    return let(blocks, placed)
+
+
 def joined_spans(spans: Column) -> Column:
     """kind:start:end of an array of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_spans, let, lower_ascii, without
+from .common import joined_spans, let, lower_ascii, sums_before, without
 
 
 class Kind(NamedTuple):
@@ -74,20 +74,6 @@ KINDS = (
 BASE = 4
 #: Characters before a span in which context words count, what they add, and the score that an uncertain kind needs.
 NEAR, LIFT, LEAST = 40, 0.3, 0.5
-#: Matches of a text whose positions are summed at once.
-BLOCK = 256
-
-
-def _before(lengths: Column) -> Column:
-    """For each number of an array the sum of those before it; in blocks, so that long arrays don't take quadratic time."""
-    n = F.size(lengths)
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-
-    def placed(parts: Column) -> Column:
-        return let(F.transform(parts, total), lambda sums: F.flatten(F.transform(parts, lambda part, i: let(total(F.slice(sums, F.lit(1), i)), lambda at: F.transform(part, lambda _, j: at + total(F.slice(part, F.lit(1), j)))))))
-
-    return let(blocks, placed)
 
 
 def _spans(kind: Kind, rank: int, text: Column, found: Column) -> Column:
@@ -96,7 +82,7 @@ def _spans(kind: Kind, rank: int, text: Column, found: Column) -> Column:
     def build(gaps: Column) -> Column:
         # Lengths of gap, match, gap, match, ...: every second running sum is where a match starts.
         lengths = F.flatten(F.transform(found, lambda m, i: F.array(F.length(gaps[i]).cast("long"), F.length(m).cast("long"))))
-        return let(_before(lengths), lambda at: F.transform(found, lambda m, i: span(m, at[i * 2 + 1])))
+        return let(sums_before(lengths), lambda at: F.transform(found, lambda m, i: span(m, at[i * 2 + 1])))
 
     def span(m: Column, start: Column) -> Column:
         first = F.greatest(start - NEAR, F.lit(0).cast("long"))
@@ -104,14 +90,10 @@ def _spans(kind: Kind, rank: int, text: Column, found: Column) -> Column:
         score = F.lit(kind.score) + F.when(lower_ascii(near).rlike(kind.context), F.lit(LIFT)).otherwise(0.0)
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"), kind.valid(m).alias("valid"))
 
-    kept = F.filter(build_gaps(kind, text, build), lambda s: s["valid"] if kind.always else s["valid"] & (s["score"] >= LEAST))
+    kept = F.filter(let(F.split(text, kind.pattern, -1), build), lambda s: s["valid"] if kind.always else s["valid"] & (s["score"] >= LEAST))
     return F.when(F.size(found) > 0, F.transform(kept, lambda s: s.dropFields("valid")))
 
 
-def build_gaps(kind: Kind, text: Column, body: Callable[[Column], Column]) -> Column:
-    return let(F.split(text, kind.pattern, -1), body)
-
-
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double>"
 
 
