@@ -42,22 +42,26 @@ def chain(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", node.alias("node_id"), (node - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(ids: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node_id, up) for every node on the path of every leaf; up counts replies from the leaf.
+def meet(left: str, right: str) -> Column:
+    """Equality of two columns, each written alias.column, within a conversation; a null conversation is one too."""
+    a, b = left.split(".")[0], right.split(".")[0]
+    return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(left) == F.col(right))
 
-    A node whose parent is not in its conversation is a root. Nodes on a cycle have no leaf and so no path.
-    """
-
-    def meet(left: str, right: str) -> Column:
-        a, b = left.split("."), right.split(".")
-        return F.col(f"{a[0]}.conv_id").eqNullSafe(F.col(f"{b[0]}.conv_id")) & (F.col(left) == F.col(right))
 
+def linked(ids: DataFrame) -> DataFrame:
+    """(conv_id, node_id, score) with the parent as to, which is null at roots: nodes whose parent isn't in their conversation."""
     n, p = ids.alias("n"), ids.alias("p")
-    jumps = cut(n.join(p, meet("n.parent_id", "p.node_id")).select("n.conv_id", "n.node_id", F.col("p.node_id").alias("to")))
-    leaves = n.join(jumps.alias("j"), meet("n.node_id", "j.to"), "left_anti")
+    return n.join(p, meet("n.parent_id", "p.node_id"), "left").select("n.conv_id", "n.node_id", "n.score", F.col("p.node_id").alias("to"))
+
+
+def paths(links: DataFrame) -> DataFrame:
+    """(conv_id, leaf, node_id, up) for the nodes above every leaf and the leaf itself; up counts replies from the leaf."""
+    jumps = links.where("to IS NOT NULL").select("conv_id", "node_id", "to")
+    leaves = links.alias("n").join(jumps.alias("j"), meet("n.node_id", "j.to"), "left_anti")
     found = leaves.select("conv_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up"))
+    most = links.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while not jumps.isEmpty():
+    while reach < most and not jumps.isEmpty():  # no path is longer than its conversation, even where links form a cycle
         f, j, k = found.alias("f"), jumps.alias("j"), jumps.alias("k")
         further = f.join(j, meet("f.node_id", "j.node_id")).select("f.conv_id", "f.leaf", F.col("j.to").alias("node_id"), (F.col("f.up") + reach).alias("up"))
         found = cut(found.unionByName(further))
@@ -72,26 +76,22 @@ def format_chats(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     nodes: conv_id, node_id, parent_id, role, text, score; other columns are not looked at. A path
     scores the sum of its nodes (null: 0); ties go to the smaller leaf. branches: how many paths of a
     conversation are kept; None keeps all. Node ids are unique in a conversation; of rows that
-    repeat one, the first by role and text stands for it. Null roles and texts are empty. loss holds
+    repeat one, the first by role and text stands for it. Nodes above which there is a cycle have no root and so no path. Null roles and texts are empty. loss holds
     the code points of formatted, ends exclusive, of every text of the trained role. An empty table
     gives no rows.
     """
     nodes = nodes.groupBy("conv_id", "node_id").agg(F.min(F.struct("role", "text", "parent_id", "score")).alias("n")).select("conv_id", "node_id", "n.*")
-    ids = cut(nodes.select("conv_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")))
-    steps = paths(ids)
-
-    def at_node(left: str, right: str) -> Column:
-        return F.col(f"{left}.conv_id").eqNullSafe(F.col(f"{right}.conv_id")) & (F.col(f"{left}.node_id") == F.col(f"{right}.node_id"))
-
+    links = cut(linked(nodes.select("conv_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))))
+    steps = paths(links)
     ranked = (
-        steps.alias("s").join(ids.alias("i"), at_node("s", "i"))
-        .groupBy("s.conv_id", "s.leaf").agg(F.sum("i.score").alias("score"))
+        steps.alias("s").join(links.alias("i"), meet("s.node_id", "i.node_id"))
+        .groupBy("s.conv_id", "s.leaf").agg(F.sum("i.score").alias("score"), F.max(F.col("i.to").isNull()).alias("rooted")).where("rooted")
         .withColumn("branch", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")))
     )
     if branches is not None:
         ranked = ranked.where(F.col("branch") <= branches)
-    chosen = steps.alias("s").join(ranked.alias("r"), F.col("s.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("s.leaf") == F.col("r.leaf"))).select("s.conv_id", "r.branch", "s.node_id", "s.up")
-    turns = chosen.alias("c").join(nodes.alias("n"), at_node("c", "n")).select("c.conv_id", "c.branch", "c.up", "n.role", "n.text")
+    chosen = steps.alias("s").join(ranked.alias("r"), meet("s.leaf", "r.leaf")).select("s.conv_id", "r.branch", "s.node_id", "s.up")
+    turns = chosen.alias("c").join(nodes.alias("n"), meet("c.node_id", "n.node_id")).select("c.conv_id", "c.branch", "c.up", "n.role", "n.text")
     return written(turns)
 
 
