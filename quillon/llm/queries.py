@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from .chat import chat_digest
 from .common import table
 from .pii import pii_digest
+from .simhash import simhash_digest
 from .token_counts import token_counts
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op7_token_counts": op7_token_counts,
     "op10_chat": op10_chat,
