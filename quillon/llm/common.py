@@ -57,6 +57,10 @@ def sums_before(numbers: Column) -> Column:
     return let(blocks, placed)
 
 
+def count_where(spans: Column, field: str, value: object) -> Column:
+    return F.size(F.filter(spans, lambda s: s[field] == value)).cast("long")
+
+
 def joined_spans(spans: Column) -> Column:
     """kind:start:end of an array of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_spans, let, lower_ascii, sums_before, without
+from .common import count_where, joined_spans, let, lower_ascii, sums_before, without
 
 
 class Kind(NamedTuple):
@@ -129,6 +129,6 @@ def masked(docs: DataFrame, text: str = "text", mark: str = "*") -> DataFrame:
 def pii_digest(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of the four base kinds, the hash of their spans, and all spans as text."""
     pii = F.col("pii")
-    counts = [F.size(F.filter(pii, lambda s, r=rank: s["rank"] == r)).cast("long").alias(f"n_{KINDS[rank].name}") for rank in range(BASE)]
+    counts = [count_where(pii, "rank", rank).alias(f"n_{KINDS[rank].name}") for rank in range(BASE)]
     digest = F.sha2(joined_spans(F.filter(pii, lambda s: s["rank"] < BASE)), 256).alias("base_sha256")
     return find_pii(docs.select("doc_id", "text")).select("doc_id", *counts, digest, joined_spans(pii).alias("spans"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .chat import chat_digest
 from .common import table
 from .pii import pii_digest
+from .quality import quality_digest
+from .secret_scan import secret_digest
 from .simhash import simhash_digest
 from .token_counts import token_counts
 
@@ -22,6 +24,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """model: the vocabulary file; by default that of the installed public tokenizers."""
     if model is None:
@@ -44,6 +54,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op4_quality": op4_quality,
+    "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
     "op10_chat": op10_chat,
 }
