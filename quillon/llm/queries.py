@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digest
 from .common import table
 from .decontaminate import contamination_digest
+from .lm import scores
 from .pii import pii_digest
 from .quality import quality_digest
 from .secret_scan import secret_digest
@@ -29,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op4_quality": op4_quality,
+    "op5_lm": op5_lm,
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
