@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digest
 from .common import table
 from .decontaminate import contamination_digest
+from .line_dedup import dedup_lines
 from .lm import scores
 from .pii import pii_digest
 from .quality import quality_digest
@@ -26,6 +27,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_lm": op5_lm,
     "op6_secrets": op6_secrets,
