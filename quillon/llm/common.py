@@ -23,6 +23,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, *values: Column) -> DataFrame:
+    """Adds computed columns through a generator, which filters and projections above don't copy: each value is computed once a row."""
+    return df.select("*", F.inline(F.array(F.struct(*values))))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drops columns whose names an operator is about to write, whatever their case."""
     taken = {n.lower() for n in names}

@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, UPPER, cut, let, without, words
+from .common import SPACES, UPPER, cut, let, once, without, words
 
 #: Characters that count as symbols, the width of a window, and the bounds of the base rules.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
@@ -51,19 +51,21 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    first = base.select(
-        "*", F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("__hashes"),
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.when(F.instr(t, "\n") > 0, dup_lines).otherwise(0).cast("long").alias("n_dup_lines"),
-    )
+    hashes = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
 
     def repeated(keys: Column) -> Column:
         spots = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(keys)) < F.size(keys), let(spots, _repeated_words)).otherwise(0)
 
+    counted = let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n"), let(_window_keys(h), repeated).cast("long").alias("r")))
+    found = once(
+        base, counted.alias("__c"),
+        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.when(F.instr(t, "\n") > 0, dup_lines).otherwise(0).cast("long").alias("n_dup_lines"),
+    )
     kept = [F.col(f"`{c}`") for c in base.columns]
-    return first.select(*kept, F.size("__hashes").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", let(_window_keys(F.col("__hashes")), repeated).cast("long").alias("n_repeat_words"))
+    return found.select(*kept, F.col("__c.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("__c.r").alias("n_repeat_words"))
 
 
 class Rule(NamedTuple):
@@ -123,7 +125,7 @@ def more_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """signals(), n_odd (characters that prose hardly uses) and n_upper (capitals A to Z)."""
     t = F.coalesce(F.col(text), F.lit(""))
     counted = [(F.length(t) - F.length(F.translate(t, chars, ""))).cast("long").alias(n) for n, chars in EXTRA.items()]
-    return signals(without(docs, EXTRA).select("*", *counted), text)
+    return once(signals(without(docs, EXTRA), text), *counted)
 
 
 def votes() -> Column:

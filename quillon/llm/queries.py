@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import contamination_digest
 from .line_dedup import dedup_lines
 from .lm import scores
+from .packing import pack
 from .pii import pii_digest
 from .quality import quality_digest
 from .secret_scan import secret_digest
@@ -56,6 +57,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 #: A conversation of two turns that say what the template uses to mark turns.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
+    "op9_packing": op9_packing,
     "op10_chat": op10_chat,
 }
 

@@ -35,11 +35,16 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-#: For each table the bits that its key keeps.
-MASKS = [sum(1 << i for i in range(BITS) if ((i % 7 + 1) & v).bit_count() % 2) for v in range(1, 8)]
+def covering_masks(radius: int) -> list[int]:
+    """For each table the bits that its key keeps: fingerprints within the radius agree in one of 2**(radius + 1) - 1 tables."""
+    vectors = (1 << radius + 1) - 1
+    return [sum(1 << i for i in range(BITS) if ((i % vectors + 1) & v).bit_count() % 2) for v in range(1, vectors + 1)]
 
 
-def fingerprint(text: bytes | None, size: int) -> int:
+MASKS = covering_masks(2)
+
+
+def fingerprint(text: bytes | None, size: int, seed: int = SEED) -> int:
     """Unsigned SimHash of the shingles of a UTF-8 text, repeats included; no words give zero."""
     words = text.lower().split() if text else []  # of bytes: both know ASCII only
     if not words:
@@ -49,7 +54,7 @@ def fingerprint(text: bytes | None, size: int) -> int:
     for at in range(0, n, CHUNK):
         part = words[at : at + CHUNK + size - 1] if n > 1 else words
         shingles = map(b" ".join, zip(*(part[i:] for i in range(size)), strict=False)) if n > 1 else [b" ".join(words)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), ">u8")
+        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), ">u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
@@ -98,3 +103,65 @@ def near_groups(docs: DataFrame, size: int = 3, text: str = "text", key: str = "
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near duplicates by shingles: words of a shingle and least Jaccard similarity; words of the shingles behind the fingerprints that
+#: find candidates (short ones change less), their seeds and the radius that the tables cover.
+SHINGLE, SIMILAR, FINDER, SEEDS, FINDER_RADIUS = 5, 0.8, 2, (42, 43), 4
+
+
+def shingles(text: bytes | None, size: int) -> list[int]:
+    """Sorted hashes of the distinct shingles; a shorter text is one shingle, a text without words has none."""
+    words = text.lower().split() if text else []
+    n = len(words) - size + 1
+    if n < 1:
+        return [_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))] if words else []
+    return sorted({_signed(xxhash.xxh64_intdigest(x, SEED)) for x in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))})
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _finders(texts: pa.Array) -> pa.Array:
+    return pa.array([[_signed(fingerprint(x, FINDER, seed)) for seed in SEEDS] for x in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _shingled(texts: pa.Array) -> pa.Array:
+    return pa.array([shingles(x, SHINGLE) for x in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+
+
+def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, root) of the distinct texts, by hash, that are linked to others.
+
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more and
+    they meet: fingerprints within four bits, by either of two seeds, meet for certain, and farther
+    ones with a probability that falls slowly.
+    """
+    told = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text"))
+    prints = told.select("id", _finders("text").alias("p")).groupBy("id").agg(F.min("p").alias("p"))
+    masks = covering_masks(FINDER_RADIUS)
+    keys = [F.xxhash64(F.lit(s), F.lit(t), F.col("p")[s].bitwiseAND(_signed(m))) for s in range(len(SEEDS)) for t, m in enumerate(masks)]
+    groups = cut(prints).select(F.explode(F.array(*keys)).alias("g"), F.col("id").alias("member"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = cut(told.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", _shingled("text").alias("s")))
+        x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.join(x, "a").join(y, "b").where(both >= SIMILAR * (F.size("x") + F.size("y") - both)).where(both > 0).select("a", "b")
+
+    return components(confirmed_links(groups, confirm))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows less all but one of each group of equal or similar texts; the one with the least key (nulls last) stays.
+
+    Equal texts are one group, null and empty ones together. Of repeated rows one stays. Texts
+    without words are similar to equal ones only. An empty table stays empty; columns don't change.
+    """
+    id_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    linked = cut(similar_texts(docs, text))
+    keys = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), id_.alias("id")).alias("at")).groupBy(F.col("at.id").alias("id")).agg(F.min("at").alias("at"))
+    stays = keys.join(linked, keys["id"] == linked["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at")).select(F.col("at.id").alias("__id"), F.col("at.key").alias("__key"))
+    kept = docs.withColumn("__id", id_).join(stays, "__id").where(F.col(key).eqNullSafe(F.col("__key"))).dropDuplicates([key, "__id"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
