@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,11 +74,35 @@ def joined_spans(spans: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows go to the folder of spark.checkpoint.dir, which outlives lost executors.
+    """Cuts the lineage: the rows go to a Parquet table below spark.checkpoint.dir, which outlives lost executors.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
+    A table that is read again has its own size and no history; a checkpoint would hand on the
+    estimated sizes and constraints of its plan, and these multiply from round to round of a loop.
+    Only where that setting is absent (tests on one machine) a temporary folder stands in. The tables
+    of an application go when Python ends, or earlier by release().
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillon-checkpoints"))
-    return df.checkpoint()
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
+    folder = f"{top.rstrip('/')}/quillon-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Deletes the files of a table that cut() wrote and nobody reads any more."""
+    _delete(table.sparkSession, table.written_to)
+
+
+_FOLDERS: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if jvm := spark.sparkContext._jvm:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,16 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("node").agg(F.min(priority(F.col("other"))).alias("m"))
         hook = cut(least.select("node", F.least(priority(F.col("node")), F.col("m"))["id"].alias("root")))
         hooks.append(hook)
-        edges = cut(_contracted(edges, hook))
+        smaller = cut(_contracted(edges, hook))
+        if n:
+            release(edges)
+        edges = smaller
         if edges.isEmpty():
             break
     found = hooks.pop()
     while hooks:  # from the smallest round back to the first
         h = hooks.pop()
+        found = cut(found) if len(hooks) % 4 == 3 else found  # plans of many joins take long to optimise
         found = h.alias("h").join(found.alias("f"), F.col("h.root") == F.col("f.node"), "left").select("h.node", F.coalesce("f.root", "h.root").alias("root"))
     return found
 
