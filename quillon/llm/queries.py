@@ -17,6 +17,7 @@ from .pii import pii_digest
 from .quality import quality_digest
 from .secret_scan import secret_digest
 from .simhash import simhash_digest
+from .sql import CHAT, DECONTAMINATE
 from .token_counts import token_counts
 
 
@@ -84,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_decontaminate": DECONTAMINATE, "op10_chat": CHAT}
