@@ -137,3 +137,17 @@ def test_lm(spark, rng):
     mine = [r for r in rows if r.held_out]
     assert sum(r.score for r in mine) > 1.1 * sum(r.base_score for r in mine)
     assert scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sql_gives_the_same_rows(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from quillon.llm.queries import QUERIES, SQL
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for name, sql in SQL.items():
+        want = con.sql(sql)
+        columns = sorted(want.columns)
+        got = [tuple(r) for r in QUERIES[name](spark, folder).select(columns).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())), name
