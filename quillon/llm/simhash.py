@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +110,8 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 #: Near duplicates by shingles: words of a shingle and least Jaccard similarity; words of the shingles behind the fingerprints that
 #: find candidates (short ones change less), their seeds and the radius that the tables cover.
 SHINGLE, SIMILAR, FINDER, SEEDS, FINDER_RADIUS = 5, 0.8, 2, (42, 43), 4
+#: Numbers of shingles within this ratio are in the same or neighbouring classes of length; more than 1 / SIMILAR.
+LENGTHS = 1.26
 
 
 def shingles(text: bytes | None, size: int) -> list[int]:
@@ -130,18 +133,42 @@ def _shingled(texts: pa.Array) -> pa.Array:
     return pa.array([shingles(x, SHINGLE) for x in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
 
+@F.arrow_udf(T.LongType())
+def _sizes(texts: pa.Array) -> pa.Array:
+    return pa.array([len(shingles(x, SHINGLE)) for x in texts.cast(pa.binary()).to_pylist()], pa.int64())
+
+
+def prefix_groups(told: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(g, member) of texts that share one of their rarest shingles and are of similar length.
+
+    told: (id, text), sizes: (id, n) with the number of shingles of each distinct text. Texts of n
+    shingles with a Jaccard similarity of SIMILAR share SIMILAR * n of them at least, so in any order
+    of all shingles they share one of the first n - ceil(SIMILAR * n) + 1 of each. The order is by
+    frequency and then hash: shingles of one text come first and meet nobody, hot ones come last.
+    """
+    each = told.select("id", F.explode(_shingled("text")).alias("h"))
+    shared = each.withColumn("df", F.count("*").over(W.partitionBy("h"))).where("df > 1")
+    ranked = shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("r")).join(sizes, "id")
+    # Of the prefix what the shingles of this text alone leave.
+    left = (F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-6) + 1 - (F.col("n") - F.size("r"))).cast("int")
+    class_ = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(LENGTHS)))
+    rare = ranked.select("id", class_.alias("c"), left.alias("left"), "r").where("left > 0").select("id", "c", F.explode(F.slice("r", F.lit(1), F.col("left"))["h"]).alias("h"))
+    return rare.select(F.explode(F.array(*[F.xxhash64(F.lit("prefix"), F.col("h"), F.col("c") + i) for i in (0, 1)])).alias("g"), F.col("id").alias("member"))
+
+
 def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the distinct texts, by hash, that are linked to others.
 
-    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more and
-    they meet: fingerprints within four bits, by either of two seeds, meet for certain, and farther
-    ones with a probability that falls slowly.
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    All such pairs meet: close fingerprints bring together most of them, and the rarest shingles of
+    each text (prefix_groups) all of them.
     """
     told = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text"))
-    prints = told.select("id", _finders("text").alias("p")).groupBy("id").agg(F.min("p").alias("p"))
+    prints = cut(told.select("id", _finders("text").alias("p"), _sizes("text").alias("n")).groupBy("id").agg(F.min("p").alias("p"), F.min("n").alias("n")))
     masks = covering_masks(FINDER_RADIUS)
     keys = [F.xxhash64(F.lit(s), F.lit(t), F.col("p")[s].bitwiseAND(_signed(m))) for s in range(len(SEEDS)) for t, m in enumerate(masks)]
-    groups = cut(prints).select(F.explode(F.array(*keys)).alias("g"), F.col("id").alias("member"))
+    covered = prints.select(F.explode(F.array(*keys)).alias("g"), F.col("id").alias("member"))
+    groups = covered.unionByName(cut(prefix_groups(told, prints.select("id", "n"))))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)

@@ -93,6 +93,37 @@ def test_near_duplicates_go(spark, rng, odd):
     assert drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_far_apart(spark, rng):
+    """Truncated, extended and changed copies whose shingles have a Jaccard similarity of 0.80 to 0.85; some just below it stay."""
+
+    def similarity(x, y):
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
+        return len(x & y) / len(x | y)
+
+    words, rows, want = [f"w{i}" for i in range(3000)], [], set()
+    hot = [rng.choice(words) for _ in range(12)]  # a passage of all texts
+    for i in range(60):
+        n = rng.choice([60, 300])
+        base = hot + [rng.choice(words) for _ in range(n)]
+        more = round((len(base) - 4) * 0.17)
+        if i % 3 == 0:
+            copy = base[:-more]
+        elif i % 3 == 1:
+            copy = base + [rng.choice(words) for _ in range(more)]
+        else:
+            copy = list(base)
+            for at in (20, -1) if n == 60 else range(20, n, 50):
+                copy[at] = "changed"
+        if i % 10 == 9:
+            copy = base[: -round((len(base) - 4) * 0.21) - 1]
+        j = similarity(base, copy)
+        assert (j < 0.8) == (i % 10 == 9) and j < 0.92
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(copy))]
+        want |= {i} | ({1000 + i} if j < 0.8 else set())
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == want
+
+
 def test_lines(spark, odd):
     line = " ".join(f"word{i}" for i in range(20))
     rows = [(1, line + "\nshort line\nunique one two three four five"), (2, "Other words come first here now\n" + line.upper() + "!!"), (4, None), (5, ""), (6, "short line"), (7, "\n".join([line] * 3)), (None, line), (8, "x y z w v u t"), (8, "x y z w v u t")]
