@@ -133,6 +133,24 @@ def test_lines(spark, odd):
     assert dedup_lines(odd).count() == odd.count() and dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_changed_lines(spark, rng):
+    """Recall of at least 0.9 for lines with changed words or letters at an edit similarity of 0.8 or more."""
+    words = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    rows, kinds = [], defaultdict(list)
+    for i in range(600):
+        base = [rng.choice(words) for _ in range((8, 12, 20, 40, 80)[i % 5])]
+        copy, kind = list(base), ("word", "letter", "words")[i // 5 % 3]
+        for at in rng.sample(range(len(base)), max(1, len(base) // 8) if kind == "words" else 1):
+            w = base[at]
+            copy[at] = rng.choice([x for x in words if len(x) <= len(w)]) if kind != "letter" else "z" + w[1:]
+        kinds[kind].append(i)
+        rows += [(i, " ".join(base)), (10000 + i, " ".join(copy))]
+    removed = {r.doc_id - 10000 for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert min(removed) >= 0
+    for kind, planted in kinds.items():
+        assert len(removed & set(planted)) >= 0.9 * len(planted), kind
+
+
 def test_plan(rng):
     for _ in range(100):
         histogram = {rng.randint(1, 100): rng.choice([1, 2, 5, 50, 1000]) for _ in range(rng.randint(0, 40))}
