@@ -30,7 +30,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(table(spark, sf_dir, "documents"), least_words=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

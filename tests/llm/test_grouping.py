@@ -133,6 +133,25 @@ def test_lines(spark, odd):
     assert dedup_lines(odd).count() == odd.count() and dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    """Equal lines of few words go in the query and the stage, whatever their length."""
+    chinese = "这是一个没有空格的段落它在语料库里出现了两次所以只应保留一次"
+    rows = [(1, "short line\nYes"), (2, "Short line!\nother"), (3, chinese), (4, chinese + "\n---"), (5, "---\nyes")]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_words=1).collect()}
+    assert got == {1: rows[0][1], 2: "other", 3: chinese, 4: "---", 5: "---"}
+
+
+@pytest.mark.parametrize("module", ["quillon.llm.queries", "corpus_pipeline"])
+def test_production_takes_short_lines(spark, tmp_path, module):
+    import importlib
+
+    m = importlib.import_module(module)
+    docs = spark.createDataFrame([(1, "short line\nfirst", 16), (2, "short line\nsecond", 17)], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = m.op3_line_dedup(spark, str(tmp_path)) if hasattr(m, "op3_line_dedup") else m.lines(spark, docs, str(tmp_path))
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "short line\nfirst", 2: "second"}
+
+
 def test_changed_lines(spark, rng):
     """Recall of at least 0.9 for lines with changed words or letters at an edit similarity of 0.8 or more."""
     words = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
