@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACES, cut, without
+from .token_counts import token_counts
 
 #: Permitted sequence lengths in tokens. A bin costs its tokens and, for attention, a share that grows with its square.
 SIZES, ATTENTION = (512, 1024, 2048, 4096), 1 / 8192
@@ -156,3 +157,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str |
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().toLocalIterator()}  # at most as many rows as the largest size
     found = plan(histogram, sizes)
     return _lookup(_numbered(pieces), found).select(F.col("key").alias(key), "piece", (F.col("piece").cast("long") * largest).alias("start"), "length", "bin", "offset", "size", "used")
+
+
+def pack_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """pack() with lengths and starts in tokens of a vocabulary, so that pieces begin and end between tokens."""
+    return pack(token_counts(docs.select(key, text), model, text), key, text, "n_tokens", sizes)

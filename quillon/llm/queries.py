@@ -12,13 +12,13 @@ from .common import table
 from .decontaminate import contamination_digest
 from .line_dedup import dedup_lines
 from .lm import scores
-from .packing import pack
+from .packing import pack_tokens
 from .pii import pii_digest
 from .quality import quality_digest
 from .secret_scan import secret_digest
 from .simhash import simhash_digest
 from .sql import CHAT, DECONTAMINATE
-from .token_counts import token_counts
+from .token_counts import default_model, token_counts
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +47,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """model: the vocabulary file; by default that of the installed public tokenizers."""
-    if model is None:
-        import public_tokenizers
-
-        model = public_tokenizers.path("piece_bpe_32k.model")
-    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), model or default_model()).drop("text")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +55,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack_tokens(table(spark, sf_dir, "documents"), default_model())
 
 
 #: A conversation of two turns that say what the template uses to mark turns.

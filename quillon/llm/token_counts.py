@@ -115,6 +115,13 @@ class Transducer(dict):
         return self.emitted(m.head) if m.whole is None else self.emitted(m.head) + m.whole + self.emitted(m.tail)
 
 
+def default_model() -> str:
+    """The vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @lru_cache(maxsize=2)
 def transducer(model: str) -> Transducer:
     return Transducer(model)
