@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +73,19 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def batches(texts: list[bytes | None], size: int) -> Iterator[list[bytes | None]]:
+    """The texts in order, about size bytes at once and one text at least."""
+    batch, held = [], 0
+    for t in texts:
+        batch.append(t)
+        held += len(t or b"")
+        if held >= size:
+            yield batch
+            batch, held = [], 0
+    if batch:
+        yield batch
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows go to a Parquet table below spark.checkpoint.dir, which outlives lost executors.
 
@@ -94,6 +107,16 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+#: Rows, or elements of arrays in them, that are sent to all tasks at most: some tens of MB.
+SENT = 1 << 20
+
+
+def sized(table: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A side of a join, to be sent to all tasks if it is small, else shuffled as any other. table: from cut(), rows of a few longs; weight: elements of the arrays in a row."""
+    n = table.agg(F.sum(1 + weight) if weight is not None else F.count("*")).first()[0] or 0
+    return F.broadcast(table) if n <= SENT else table
+
+
 def release(table: DataFrame) -> None:
     """Deletes the files of a table that cut() wrote and nobody reads any more."""
     _delete(table.sparkSession, table.written_to)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -63,23 +64,48 @@ class Words(NamedTuple):
         return tuple(self.folded[a:b] for a, b in zip(self.start[at : at + n], self.end[at : at + n], strict=True))
 
 
-def read_words(texts: list[bytes | None]) -> Words:
-    parts = [(t or b"").translate(_FOLD) for t in texts]
-    folded = b" ".join(parts) + b" "
+@lru_cache(maxsize=4)
+def _prefix_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    inverse = np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+    inverse[0] = 1
+    return _powers(size), np.multiply.accumulate(inverse)
+
+
+class Bytes(NamedTuple):
+    """Folded bytes of several texts, one after the other, with what gives the hash of any run of them."""
+
+    folded: bytes
+    sums: np.ndarray
+    inverse: np.ndarray
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of each run the sum of its bytes, each plus one and times a power of the base that grows from its start."""
+        return _mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
+
+
+def read_bytes(folded: bytes) -> Bytes:
     data = np.frombuffer(folded, np.uint8)
-    inside = np.concatenate(([False], data != 32))
+    powers, inverse = _prefix_powers(1 << max(20, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    return Bytes(folded, sums, inverse)
+
+
+def word_edges(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of anything but spaces."""
+    inside = np.frombuffer(b" " + folded + b" ", np.uint8) != 32
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    if inside[-1]:
-        edges = np.append(edges, len(data))
-    start, end = edges[::2], edges[1::2]
-    hashes = np.zeros(len(start), np.uint64)
-    if len(start):
-        length = end - start
-        at = np.repeat(start, length) + _ramp(length)
-        terms = (data[at].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[at - np.repeat(start, length)]
-        hashes = _mixed(np.add.reduceat(terms, np.concatenate(([0], np.cumsum(length)[:-1]))))
+    return edges[::2], edges[1::2]
+
+
+def read_words(texts: list[bytes | None], fold: bytes = _FOLD) -> Words:
+    """The words of the texts after each byte went through fold, which makes a space of whatever ends a word."""
+    parts = [(t or b"").translate(fold) for t in texts]
+    data = read_bytes(b" ".join(parts) + b" ")
+    start, end = word_edges(data.folded)
     offsets = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return Words(folded, start, end, hashes, np.searchsorted(start, offsets))
+    return Words(data.folded, start, end, data.hash(start, end), np.searchsorted(start, offsets))
 
 
 def _ramp(lengths: np.ndarray) -> np.ndarray:

@@ -14,19 +14,20 @@ never n squared.
 
 from __future__ import annotations
 
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, without
+from .common import batches, cut, sized, without
 from .components import components, star
-from .linking import confirmed_links
+from .decontaminate import read_words, runs
+from .linking import met_pairs
 
 BITS, SEED = 64, 42
 #: Shingles that are hashed at once.
@@ -107,89 +108,99 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near duplicates by shingles: words of a shingle and least Jaccard similarity; words of the shingles behind the fingerprints that
-#: find candidates (short ones change less), their seeds and the radius that the tables cover.
-SHINGLE, SIMILAR, FINDER, SEEDS, FINDER_RADIUS = 5, 0.8, 2, (42, 43), 4
-#: Numbers of shingles within this ratio are in the same or neighbouring classes of length; more than 1 / SIMILAR.
-LENGTHS = 1.26
+#: Near duplicates by shingles: words of a shingle, least Jaccard similarity, least hashes of a text that are kept and that are keys.
+SHINGLE, SIMILAR, SAMPLE, KEYS = 5, 0.8, 32, 12
+#: Of SAMPLE hashes of two texts together, shared ones that similar texts have for certain: 25.6 are expected at SIMILAR, with a deviation of 2.3.
+SHARED = 14
+#: Lower case A-Z, and a space for white space.
+_SPACED = bytes(32 if b in b" \t\n\x0b\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of texts that are hashed at once.
+BATCH_BYTES = 1 << 19
 
 
-def shingles(text: bytes | None, size: int) -> list[int]:
-    """Sorted hashes of the distinct shingles; a shorter text is one shingle, a text without words has none."""
-    words = text.lower().split() if text else []
-    n = len(words) - size + 1
-    if n < 1:
-        return [_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))] if words else []
-    return sorted({_signed(xxhash.xxh64_intdigest(x, SEED)) for x in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))})
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Of each text the sorted hashes of its distinct shingles; a shorter text is one shingle, a text without words has none."""
+    for batch in batches(texts, BATCH_BYTES):
+        w = read_words(batch, _SPACED)
+        for a, b in pairwise(w.first.tolist()):
+            yield np.unique(runs(w.hash[a:b], min(SHINGLE, b - a))) if b > a else w.hash[:0]
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _finders(texts: pa.Array) -> pa.Array:
-    return pa.array([[_signed(fingerprint(x, FINDER, seed)) for seed in SEEDS] for x in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+def _simhash(hashes: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view("<i8")[0])
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _shingled(texts: pa.Array) -> pa.Array:
-    return pa.array([shingles(x, SHINGLE) for x in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("print", T.LongType()), T.StructField("least", T.ArrayType(T.LongType()))])
+ARROW = pa.struct([("n", pa.int64()), ("print", pa.int64()), ("least", pa.list_(pa.int64()))])
 
 
-@F.arrow_udf(T.LongType())
-def _sizes(texts: pa.Array) -> pa.Array:
-    return pa.array([len(shingles(x, SHINGLE)) for x in texts.cast(pa.binary()).to_pylist()], pa.int64())
+@F.arrow_udf(SKETCH)
+def _sketched(texts: pa.Array) -> pa.Array:
+    """The number of distinct shingles, their SimHash and the least of their hashes in order."""
+    rows = [{"n": len(s), "print": _simhash(s), "least": s[:SAMPLE].view(np.int64).tolist()} for s in shingle_sets(texts.cast(pa.binary()).to_pylist())]
+    return pa.array(rows, ARROW)
 
 
-def prefix_groups(told: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(g, member) of texts that share one of their rarest shingles and are of similar length.
+@F.arrow_udf(T.BooleanType())
+def _similar(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Whether the shingles of two texts reach the similarity, by whole sets."""
+    pairs = zip(shingle_sets(x.cast(pa.binary()).to_pylist()), shingle_sets(y.cast(pa.binary()).to_pylist()), strict=True)
+    return pa.array([bool(n := len(np.intersect1d(s, t, assume_unique=True))) and n >= SIMILAR * (len(s) + len(t) - n) - 1e-9 for s, t in pairs], pa.bool_())
 
-    told: (id, text), sizes: (id, n) with the number of shingles of each distinct text. Texts of n
-    shingles with a Jaccard similarity of SIMILAR share SIMILAR * n of them at least, so in any order
-    of all shingles they share one of the first n - ceil(SIMILAR * n) + 1 of each. The order is by
-    frequency and then hash: shingles of one text come first and meet nobody, hot ones come last.
-    """
-    each = told.select("id", F.explode(_shingled("text")).alias("h"))
-    shared = each.withColumn("df", F.count("*").over(W.partitionBy("h"))).where("df > 1")
-    ranked = shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("r")).join(sizes, "id")
-    # Of the prefix what the shingles of this text alone leave.
-    left = (F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-6) + 1 - (F.col("n") - F.size("r"))).cast("int")
-    class_ = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(LENGTHS)))
-    rare = ranked.select("id", class_.alias("c"), left.alias("left"), "r").where("left > 0").select("id", "c", F.explode(F.slice("r", F.lit(1), F.col("left"))["h"]).alias("h"))
-    return rare.select(F.explode(F.array(*[F.xxhash64(F.lit("prefix"), F.col("h"), F.col("c") + i) for i in (0, 1)])).alias("g"), F.col("id").alias("member"))
+
+def _likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs that the samples don't rule out: (a, b, sure), sure where the samples are the whole sets and reach the similarity."""
+    x, y = (prints.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("least").alias(f"l_{i}")) for i in ("a", "b"))
+    both = F.size(F.array_intersect("l_a", "l_b"))
+    # Unsigned order: the least of two samples together are the least of the texts together.
+    flipped = lambda v: v.bitwiseXOR(F.lit(-(1 << 63)))
+    union = F.slice(F.array_sort(F.transform(F.array_union("l_a", "l_b"), flipped)), 1, SAMPLE)
+    shared = F.size(F.array_intersect(F.transform(F.array_intersect("l_a", "l_b"), flipped), union))
+    whole = (F.col("n_a") <= SAMPLE) & (F.col("n_b") <= SAMPLE)
+    close = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b") - 1e-9
+    reached = both >= SIMILAR * (F.col("n_a") + F.col("n_b") - both) - 1e-9
+    found = pairs.join(x, "a").join(y, "b").where(close & (both > 0))
+    return found.where(F.when(whole, reached).otherwise(shared >= SHARED)).select("a", "b", whole.alias("sure"))
 
 
 def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the distinct texts, by hash, that are linked to others.
 
-    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-    All such pairs meet: close fingerprints bring together most of them, and the rarest shingles of
-    each text (prefix_groups) all of them.
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is
+    checked on the whole sets. Texts are compared if their fingerprints collide in a covering table,
+    or if they share two of their KEYS least shingle hashes. Of two texts of that similarity each of
+    the least hashes of both together is shared with a chance of 0.8, so they share fewer than two
+    with a chance below 1e-6.
     """
     told = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text"))
-    prints = cut(told.select("id", _finders("text").alias("p"), _sizes("text").alias("n")).groupBy("id").agg(F.min("p").alias("p"), F.min("n").alias("n")))
-    masks = covering_masks(FINDER_RADIUS)
-    keys = [F.xxhash64(F.lit(s), F.lit(t), F.col("p")[s].bitwiseAND(_signed(m))) for s in range(len(SEEDS)) for t, m in enumerate(masks)]
-    covered = prints.select(F.explode(F.array(*keys)).alias("g"), F.col("id").alias("member"))
-    groups = covered.unionByName(cut(prefix_groups(told, prints.select("id", "n"))))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = cut(told.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", _shingled("text").alias("s")))
-        x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(x, "a").join(y, "b").where(both >= SIMILAR * (F.size("x") + F.size("y") - both)).where(both > 0).select("a", "b")
-
-    return components(confirmed_links(groups, confirm))
+    sketched = told.select("id", _sketched("text").alias("s")).groupBy("id").agg(F.min("s").alias("s"))
+    prints = cut(sketched.where("s.n > 0").select("id", "s.*"))
+    # Two keys of the whole sketch, so that texts of few shingles meet as well.
+    equal = [F.xxhash64(F.lit(i), F.col("n"), F.col("least")) for i in (0, 1)]
+    covering = [F.xxhash64(F.lit(t), F.col("print").bitwiseAND(_signed(m))) for t, m in enumerate(MASKS)]
+    keyed = prints.select("id", F.concat(F.slice("least", 1, KEYS), F.array(*equal)).alias("keys"), F.array(*covering).alias("strong"))
+    likely = cut(_likely(met_pairs(keyed), prints))
+    unsure = likely.where("NOT sure").select("a", "b")
+    wanted = cut(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = cut(told.join(sized(wanted), "id").groupBy("id").agg(F.min("text").alias("text")))
+    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    checked = unsure.join(x, "a").join(y, "b").where(_similar("x", "y")).select("a", "b")
+    return components(cut(likely.where("sure").select("a", "b").unionByName(checked)))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows less all but one of each group of equal or similar texts; the one with the least key (nulls last) stays.
 
     Equal texts are one group, null and empty ones together. Of repeated rows one stays. Texts
-    without words are similar to equal ones only. An empty table stays empty; columns don't change.
+    without words are similar to equal ones only. Of texts of any length the whole is compared. An
+    empty table stays empty; columns don't change, whatever their names.
     """
-    id_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(key).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     linked = cut(similar_texts(docs, text))
-    keys = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), id_.alias("id")).alias("at")).groupBy(F.col("at.id").alias("id")).agg(F.min("at").alias("at"))
-    stays = keys.join(linked, keys["id"] == linked["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at")).select(F.col("at.id").alias("__id"), F.col("at.key").alias("__key"))
-    kept = docs.withColumn("__id", id_).join(stays, "__id").where(F.col(key).eqNullSafe(F.col("__key"))).dropDuplicates([key, "__id"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = rows.select("id", F.struct(F.col("key").isNull().alias("none"), "key", "id").alias("at")).groupBy("id").agg(F.min("at").alias("at"))
+    stays = keys.join(linked, keys["id"] == linked["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at")).select("at.id", F.col("at.key").alias("first"))
+    kept = rows.join(stays, "id").where(F.col("key").eqNullSafe(F.col("first"))).dropDuplicates(["id", "key"])
+    return kept.select("doc.*")
