@@ -45,6 +45,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def words_by_bytes() -> bytes:
+    """For each byte what it becomes before words are told by spaces: lower case A-Z, and a space for white space."""
+    return _SPACED
+
+
+_SPACED = bytes(32 if chr(b) in SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
 #: Numbers that are summed at once.
 BLOCK = 256
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, cut, sized, without
+from .common import batches, cut, sized, without, words_by_bytes
 from .components import components, star
 from .decontaminate import read_words, runs
 from .linking import met_pairs
@@ -109,11 +109,11 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 #: Near duplicates by shingles: words of a shingle, least Jaccard similarity, least hashes of a text that are kept and that are keys.
-SHINGLE, SIMILAR, SAMPLE, KEYS = 5, 0.8, 32, 12
+SHINGLE, SIMILAR, SAMPLE, KEYS = 5, 0.8, 32, 10
 #: Of SAMPLE hashes of two texts together, shared ones that similar texts have for certain: 25.6 are expected at SIMILAR, with a deviation of 2.3.
 SHARED = 14
-#: Lower case A-Z, and a space for white space.
-_SPACED = bytes(32 if b in b" \t\n\x0b\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bits in which the fingerprints of similar texts may differ: 9.7 are expected at SIMILAR, with a deviation of 2.9.
+FAR = 26
 #: Bytes of texts that are hashed at once.
 BATCH_BYTES = 1 << 19
 
@@ -121,7 +121,7 @@ BATCH_BYTES = 1 << 19
 def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
     """Of each text the sorted hashes of its distinct shingles; a shorter text is one shingle, a text without words has none."""
     for batch in batches(texts, BATCH_BYTES):
-        w = read_words(batch, _SPACED)
+        w = read_words(batch, words_by_bytes())
         for a, b in pairwise(w.first.tolist()):
             yield np.unique(runs(w.hash[a:b], min(SHINGLE, b - a))) if b > a else w.hash[:0]
 
@@ -171,18 +171,16 @@ def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is
     checked on the whole sets. Texts are compared if their fingerprints collide in a covering table,
-    or if they share two of their KEYS least shingle hashes. Of two texts of that similarity each of
-    the least hashes of both together is shared with a chance of 0.8, so they share fewer than two
-    with a chance below 1e-6.
+    or if they share one of their KEYS least shingle hashes and their fingerprints aren't far apart.
+    Of two texts of that similarity each of the least hashes of both together is shared with a
+    chance of 0.8, so they share none with a chance below 1e-6.
     """
     told = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text"))
     sketched = told.select("id", _sketched("text").alias("s")).groupBy("id").agg(F.min("s").alias("s"))
     prints = cut(sketched.where("s.n > 0").select("id", "s.*"))
-    # Two keys of the whole sketch, so that texts of few shingles meet as well.
-    equal = [F.xxhash64(F.lit(i), F.col("n"), F.col("least")) for i in (0, 1)]
     covering = [F.xxhash64(F.lit(t), F.col("print").bitwiseAND(_signed(m))) for t, m in enumerate(MASKS)]
-    keyed = prints.select("id", F.concat(F.slice("least", 1, KEYS), F.array(*equal)).alias("keys"), F.array(*covering).alias("strong"))
-    likely = cut(_likely(met_pairs(keyed), prints))
+    keyed = prints.select("id", "print", F.slice("least", 1, KEYS).alias("keys"), F.array(*covering).alias("strong"))
+    likely = cut(_likely(met_pairs(keyed, FAR), prints))
     unsure = likely.where("NOT sure").select("a", "b")
     wanted = cut(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = cut(told.join(sized(wanted), "id").groupBy("id").agg(F.min("text").alias("text")))
