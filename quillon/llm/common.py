@@ -115,7 +115,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows, or elements of arrays in them, that are sent to all tasks at most: some tens of MB.
-SENT = 1 << 20
+SENT = 1 << 21
 
 
 def sized(table: DataFrame, weight: Column | None = None) -> DataFrame:
