@@ -179,8 +179,8 @@ def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     sketched = told.select("id", _sketched("text").alias("s")).groupBy("id").agg(F.min("s").alias("s"))
     prints = cut(sketched.where("s.n > 0").select("id", "s.*"))
     covering = [F.xxhash64(F.lit(t), F.col("print").bitwiseAND(_signed(m))) for t, m in enumerate(MASKS)]
-    keyed = prints.select("id", "print", F.slice("least", 1, KEYS).alias("keys"), F.array(*covering).alias("strong"))
-    likely = cut(_likely(met_pairs(keyed, FAR), prints))
+    keyed = prints.select("id", "print", F.col("n").alias("size"), F.slice("least", 1, KEYS).alias("keys"), F.array(*covering).alias("strong"))
+    likely = cut(_likely(met_pairs(keyed, FAR, SIMILAR), prints))
     unsure = likely.where("NOT sure").select("a", "b")
     wanted = cut(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = cut(told.join(sized(wanted), "id").groupBy("id").agg(F.min("text").alias("text")))
