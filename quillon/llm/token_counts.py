@@ -1,21 +1,24 @@
-"""Token counts of whole texts, exactly as a subword tokenizer gives them.
-
-The tokenizer is compiled into a deterministic transducer over segments. A segment is a run of
-spaces (possibly empty) and the characters up to the next space. No piece of the vocabulary has a
-space after another character, so merges never cross the start of a segment, and the tokens of a
-text are those of its segments one after the other. Each transition of the transducer reads one
-segment and carries the number of tokens that it emits; transitions are compiled from the
-vocabulary when first met and kept in a table of bounded size.
-
-A chunk of text is summarised by its state map: the part before its first boundary, the tokens of
-the whole segments inside, and the part after its last boundary. State maps compose
-associatively, so the chunks of a long text are mapped on their own and combined by a scan.
+"""Token counts of whole texts, exactly as a subword tokenizer gives them, by a finite-state transducer.
+
+The vocabulary merges neighbouring pieces, best score first. Where a prefix of a text ends, its last
+token is settled: of the pieces that end there, one alone stands the merges beside the last token of
+what comes before it (the two, merged on their own, stay two). So a prefix needs no more of the past
+than the places from which a piece may still grow: at each the node of the vocabulary's trie, the
+last token before it and the difference of the counts. This is a state. A transition reads one
+character and carries the tokens that it emits: how many more the longer prefix has, which may be
+none or fewer. States and transitions are compiled when they are first met.
+
+No piece has a space after another character, so after a space that follows one the state is always
+the same. A chunk of a text is therefore summarised by its state map: the part before its first such
+space, which depends on the state before the chunk, the tokens emitted after it, and the state at
+its end. State maps compose associatively; those of a text are composed in pairs, pairs of pairs and
+so on.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache, reduce
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -27,92 +30,180 @@ from .common import without
 
 #: Spaces are written so inside pieces.
 MARK = "▁"
-#: Characters of a text that are mapped at once.
-CHUNK = 1 << 18
-#: Longer segments are counted without being kept.
-KEPT_LENGTH, KEPT = 48, 1 << 20
-#: Where a segment starts.
-AFTER = re.compile("[^ ] ")
+#: Characters of a text that give one state map.
+CHUNK = 1 << 13
+#: Words whose counts are kept, and their longest; states from which the tables start anew.
+KEPT, KEPT_LENGTH, STATES = 1 << 19, 48, 1 << 19
+#: A space after another character.
+BOUNDARY, WORDS = re.compile("[^ ] "), re.compile("(?<=[^ ])(?= )")
+#: The trie's root; the token before a place where merges can't reach back.
+ROOT, NONE = 0, -1
 
 
 class ChunkMap(NamedTuple):
-    """What a chunk does to the count: head joins the segment that is open before it; tail stays open after it.
+    """What a chunk does: head is read from the state before it; emitted counts the rest, and state is where that ends.
 
-    whole is None if no segment starts in the chunk; all of it is in head then.
+    state is None if there is no rest: the chunk has no boundary and all of it is head.
     """
 
     head: str
-    whole: int | None
-    tail: str
+    emitted: int
+    state: int | None
 
 
-class Transducer(dict):
-    """Emitted tokens by segment, each written with its leading spaces less one."""
+class Vocabulary(NamedTuple):
+    """Pieces that merges may give, with their scores."""
 
-    def __init__(self, model: str):
+    scores: dict[str, float]
+
+    @classmethod
+    def read(cls, model: str) -> Vocabulary:
         import sentencepiece
 
+        p = sentencepiece.SentencePieceProcessor(model_file=model)
+        plain = (i for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i)))
+        return cls({p.id_to_piece(i): p.get_score(i) for i in plain})
+
+    def merged(self, symbols: list[str]) -> list[str]:
+        """What merging leaves: the best pair first, of equal ones the leftmost."""
+        symbols = list(symbols)
+        best = [self.scores.get(a + b) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while found := [s for s in best if s is not None]:
+            i = best.index(max(found))
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del best[i]
+            if i:
+                best[i - 1] = self.scores.get(symbols[i - 1] + symbols[i])
+            if i < len(best):
+                best[i] = self.scores.get(symbols[i] + symbols[i + 1])
+        return symbols
+
+
+class Words(dict):
+    """Tokens by word, as transitions from one boundary to the next: a word is written with its leading spaces less one."""
+
+    def __init__(self, transducer: Transducer):
         super().__init__()
-        self.processor = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = map(self.processor.id_to_piece, range(self.processor.get_piece_size()))
-        if any(MARK in p.lstrip(MARK) for p in pieces):
-            raise ValueError("a piece has a space inside: texts can't be cut at spaces")
-
-    def __missing__(self, segment: str) -> int:
-        # A segment of one space only is one token; the library itself reads an empty text as none.
-        n = len(self.processor.encode(segment, num_threads=1)) if segment else 1
-        if len(segment) <= KEPT_LENGTH:
+        self.transducer = transducer
+
+    def __missing__(self, word: str) -> int:
+        n = self.transducer.read(self.transducer.letter, " " + word)[1]
+        if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT:
                 self.clear()
-            self[segment] = n
+            self[word] = n
         return n
 
-    def _segments(self, spaced: str) -> list[str]:
-        """Segments of a text that starts with a space, each without its first space."""
-        parts = spaced[1:].split(" ")
-        if "  " not in spaced:
-            return parts
-        out, run = [], ""
-        for i, p in enumerate(parts):
-            if p or i == len(parts) - 1:
-                out.append(run + p)
-                run = ""
-            else:
-                run += " "
-        return out
-
-    def emitted(self, spaced: str) -> int:
-        return sum(map(self.__getitem__, self._segments(spaced)))
+
+class Transducer:
+    """The compiled tables: for each state and character the next state and the tokens emitted."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        if any(MARK in p.lstrip(MARK) for p in vocabulary.scores):
+            raise ValueError("a piece has a space inside: the state after a space isn't settled")
+        self.vocabulary = vocabulary
+        self.children: list[dict[str, int]] = [{}]
+        self.token: list[str | None] = [None]
+        for piece in vocabulary.scores:
+            node = ROOT
+            for c in piece:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.token.append(None)
+                node = self.children[node][c]
+            self.token[node] = piece
+        self.stands_: dict[tuple[str, str], bool] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.next: list[dict[str, tuple[int, int]]] = []
+        self.words = Words(self)
+        self.start = self.state(((ROOT, NONE, 0),))
+        #: After a letter that merges can't reach; a space from here leads where it leads from any other character.
+        self.letter = self.start
+
+    def state(self, places: tuple) -> int:
+        if places not in self.ids:
+            self.ids[places] = len(self.states)
+            self.states.append(places)
+            self.next.append({})
+        return self.ids[places]
+
+    def stands(self, before: str | int, token: str) -> bool:
+        """Whether a token stays apart from the one before it."""
+        if before == NONE:
+            return True
+        if (before, token) not in self.stands_:
+            if len(self.stands_) >= KEPT:
+                self.stands_.clear()
+            self.stands_[before, token] = self.vocabulary.merged([*before, *token]) == [before, token]
+        return self.stands_[before, token]
+
+    def compiled(self, state: int, c: str) -> tuple[int, int]:
+        """The transition of a state by a character."""
+        last, emitted, open_, read = None, 0, [], c
+        c = MARK if c == " " else c
+        for node, before, count in self.states[state]:
+            if (node := self.children[node].get(c)) is None:
+                continue
+            open_.append((node, before, count))
+            token = self.token[node]
+            if last is None and token is not None and self.stands(before, token):
+                last, emitted = token, count + 1
+        if last is None:
+            # No piece ends here: the character stands for itself and is written as its bytes.
+            last, emitted = (c if c in self.children[ROOT] else NONE), self.states[state][-1][2] + len(c.encode())
+        if c == MARK:
+            # Merges don't reach over a space to what isn't one.
+            open_ = [(n, b if b == NONE or b[-1] == MARK else NONE, k) for n, b, k in open_]
+        places = [(n, b, k - emitted) for n, b, k in open_ if self.children[n]]
+        found = self.state((*places, (ROOT, last, 0))), emitted
+        self.next[state][read] = found
+        return found
+
+    def read(self, state: int, text: str) -> tuple[int, int]:
+        """The state after a text, and the tokens emitted."""
+        total = 0
+        for c in text:
+            state, n = self.next[state].get(c) or self.compiled(state, c)
+            total += n
+        return state, total
+
+    def emitted(self, text: str) -> int:
+        """Tokens emitted by a text that starts with a boundary's space and ends before one."""
+        words = text[1:].split(" ") if "  " not in text else [w[1:] for w in WORDS.split(text)]
+        return sum(map(self.words.__getitem__, words))
 
     def chunk(self, text: str) -> ChunkMap:
-        """The state map of a chunk whose spaces are plain; a segment starts at a space after another character."""
-        last = len(text[: text.rfind(" ") + 1].rstrip(" "))
-        if not last:
-            return ChunkMap(text, None, "")
-        first = AFTER.search(text).start() + 1
-        return ChunkMap(text[:first], self.emitted(text[first:last]) if first < last else 0, text[last:])
+        """The state map of a chunk."""
+        m = BOUNDARY.search(text)
+        if not m:
+            return ChunkMap(text, 0, None)
+        first, last = m.start() + 1, len(text[: text.rindex(" ")].rstrip(" "))
+        state, n = self.read(self.letter, text[last:])
+        return ChunkMap(text[:first], n + (self.emitted(text[first:last]) if first < last else 0), state)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The state map of two neighbouring chunks; associative."""
-        open_ = a.head if a.whole is None else a.tail
-        parts = [open_, b.head] if open_[-1:] not in ("", " ") and b.head[:1] == " " else [open_ + b.head]
-        head, inner = (parts[0], parts[1:]) if a.whole is None else (a.head, parts)
-        if b.whole is not None:
-            return ChunkMap(head, (a.whole or 0) + sum(map(self.emitted, inner)) + b.whole, b.tail)
-        if not inner:
-            return ChunkMap(head, None, "")
-        *closed, tail = inner
-        return ChunkMap(head, (a.whole or 0) + sum(map(self.emitted, closed)), tail)
+        if a.state is None:
+            return ChunkMap(a.head + b.head, b.emitted, b.state)
+        state, n = self.read(a.state, b.head)
+        return ChunkMap(a.head, a.emitted + n + b.emitted, state if b.state is None else b.state)
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
+        """Tokens of a whole text."""
         if not text:
             return 0
+        if len(self.states) > STATES:
+            self.reset()
         spaced = " " + text.replace(MARK, " ")
-        if len(spaced) <= chunk:
-            return self.emitted(spaced)
-        maps = (self.chunk(spaced[i : i + chunk]) for i in range(0, len(spaced), chunk))
-        m = reduce(self.compose, maps)
-        return self.emitted(m.head) if m.whole is None else self.emitted(m.head) + m.whole + self.emitted(m.tail)
+        maps = [self.chunk(spaced[i : i + chunk]) for i in range(0, len(spaced), chunk)]
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return self.read(self.start, maps[0].head)[1] + maps[0].emitted
 
 
 def default_model() -> str:
@@ -124,15 +215,16 @@ def default_model() -> str:
 
 @lru_cache(maxsize=2)
 def transducer(model: str) -> Transducer:
-    return Transducer(model)
+    return Transducer(Vocabulary.read(model))
 
 
 def token_counts(docs: DataFrame, model: str, text: str = "text", limit: int = 4096) -> DataFrame:
     """Adds n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) to every row.
 
     Null and empty texts have no bytes and no tokens. Repeated rows are counted each on their own;
-    an empty table stays empty. Columns of the input with the names of the new ones are replaced.
-    The model's file must be readable at the same path on every executor.
+    an empty table stays empty. Texts of any length are read chunk by chunk. Columns of the input
+    with the names of the new ones are replaced. The model's file must be readable at the same path
+    on every executor.
     """
 
     @F.arrow_udf(T.LongType())
@@ -140,6 +232,6 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", limit: int = 4
         t = transducer(model)
         return pa.array([t.count(x) if x else 0 for x in texts.to_pylist()], pa.int64())
 
-    out = docs.select("*", F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("__bytes"), counted(F.col(text)).alias("__tokens"))
-    kept = without(out, ("n_bytes", "n_tokens", "over_limit", "__bytes", "__tokens")).columns
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__bytes").alias("n_bytes"), F.col("__tokens").alias("n_tokens"), (F.col("__tokens") > limit).alias("over_limit"))
+    kept = without(docs, ("n_bytes", "n_tokens", "over_limit"))
+    n_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    return kept.select("*", n_bytes.alias("n_bytes"), counted(F.col(text)).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
