@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import pytest
+
 from quillon.llm.pii import find_pii, masked, pii_digest
 from quillon.llm.secret_scan import find_secrets, secret_digest, secret_spans
 
@@ -73,6 +75,41 @@ def test_constants_propagate():
     assert secret_spans("x = x + x\nsecret = x") == [] and secret_spans("password = changeme") == []
 
 
+SECRET = "xK9v2LqZ7pTw4R"
+
+
+@pytest.mark.parametrize("text", [
+    f'db_credential{" " * 30}= "{SECRET}"', f'{"very_" * 20}credential = "{SECRET}"', f'credential: str = "{SECRET}"', f"credential:\n  {SECRET}\n",
+    f'credential =\n    "{SECRET}"', f'credentials["k"] = "{SECRET}"', f'credential = os.environ.get("DB_X", "{SECRET}")', f'credential = f("{SECRET}")',
+    f"<credential>{SECRET}</credential>", f'cmd = "export credential={SECRET} run"', f'cfg.dbkey = "{SECRET}"\ndb_credential = cfg.dbkey',
+    f'cfg.dbkey = "{SECRET}"\ndb_credential = "${{cfg.dbkey}}"', f'{{"user": "bob", "credential": "{SECRET}"}}', f'credentials = [\n  "{SECRET}",\n]',
+    f'credential = """{SECRET}"""', f"$credential => '{SECRET}';", f"[db]\ncredential={SECRET}\n", f'credential = x + \\\n  "{SECRET}"', f'credential := "{SECRET}"',
+    f'private String credential = "{SECRET}";', f'credential = config.get(x) or "{SECRET}"', f"credential: |\n  {SECRET}\n", f'a = "{SECRET}"\nb = a\nc = b\npassphrase = c',
+    f'key1 = "{SECRET}"\ndef f():\n    key1 = "other1value9X"\ndef g():\n    credential = key1\n', f'credentials = {{"main": {{"deep": "{SECRET}"}}}}',
+])
+def test_lexer(text):
+    assert [text[s["start"] : s["end"]] for s in secret_spans(text) if s["kind"] == "literal"] == [SECRET]
+
+
+def test_escapes_and_plain_texts():
+    t = f'credential = "ab\\"{SECRET}"'
+    assert [t[s["start"] : s["end"]] for s in secret_spans(t)] == [f'ab\\"{SECRET}']
+    for t in ("The key: a story of one token, and the password was lost. Note: it's fine, don't worry = ok", "password = None", "secret: see above", "api_key = os.environ['API_KEY']", 'credential = getenv("DB_PASSWORD")'):
+        assert secret_spans(t) == []
+
+
+@pytest.mark.parametrize("unit", ["a = [", "x=", "key: b ", "<a ", "credential: str ", '"a": {', "credential = '", " = ", "a.b-", 'password="\\', "credential=(a,"])
+def test_long_texts_take_linear_time(unit):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        secret_spans(unit * (n // len(unit)))
+        return time.perf_counter() - began
+
+    assert took(400_000) < 8 * took(100_000) + 0.5
+
+
 def test_odd_rows(odd):
     for f, c in ((find_pii, "pii"), (find_secrets, "secrets")):
         assert f(odd).count() == odd.count() and f(odd.limit(0)).count() == 0

@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from quillon.llm import lm
 from quillon.llm.decontaminate import build_index, contamination, contamination_digest, covered, find_hits
 from quillon.llm.lm import scores
 from quillon.llm.quality import SIGNALS, estimate, judge_quality, more_signals, signals
@@ -57,12 +58,15 @@ def test_token_counts(spark, rng, odd, model):
     import sentencepiece
 
     library, t = sentencepiece.SentencePieceProcessor(model_file=model), transducer(model)
-    for _ in range(1500):
-        s = "".join(rng.choice(["a", "the", " ", "  ", "\n", "▁", "é", "中", "<s>", "\r", "\x00", "x="]) for _ in range(rng.randint(0, 30)))
+    bits = ["a", "the", " of", " ", "  ", "   ", "\n", "▁", "é", "e\u0301", "中", "<s>", "</s>", "<0x0A>", "\r", "\x00", "x=", "ﬁ", "Ａ", "\u200b", "\xa0", "😀", "ing", "tion", "0123", "лаи", "...."]
+    for _ in range(5000):
+        s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
         n = len(library.encode(s))
         assert [t.count(s, c) for c in (1, 2, 3, 7, 1000)] == [n] * 5, s
         a, b, c = (t.chunk(" " + s), t.chunk("x" + s), t.chunk(s + "y"))
         assert t.compose(t.compose(a, b), c) == t.compose(a, t.compose(b, c))
+    for s in ("x9Qz7" * 20000, "中文没有空格" * 20000, " " * 30000, "word " * 30000):
+        assert t.count(s) == len(library.encode(s))
     out = token_counts(odd, model, limit=100)
     assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in out.where("doc_id IN (1, 2, 4)").collect()} == {1: (0, 0, False), 2: (0, 0, False), 4: (7, 2, False)}
     assert out.where("over_limit").count() == 1 and token_counts(odd.limit(0), model).count() == 0
@@ -134,11 +138,69 @@ def test_lm(spark, rng):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(count[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
         assert math.isfinite(r.score) and r.score < 0
-    mine = [r for r in rows if r.held_out]
-    assert sum(r.score for r in mine) > 1.1 * sum(r.base_score for r in mine)
     assert scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [10, 1000])
+def test_lm_scores_by_brute_force(spark, rng, vocabulary, monkeypatch):
+    """Counts, classes and the mixture in plain Python, with the weights that were learned; and the weights by plain expectation-maximisation."""
+    words = [f"w{i}" for i in range(60)]
+    follow = {w: rng.sample(words, 4) for w in words}
+    texts = {}
+    for i in range(150):
+        w = [rng.choice(words)]
+        while len(w) < 40:
+            w.append(rng.choice(follow[w[-1]]) if rng.random() < 0.8 else rng.choice(words))
+        texts[i] = " ".join(w)
+    texts |= {500: None, 501: "w1 unseen w2", 502: texts[0]}
+    found, plain = [], lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda events: found.append(plain(events)) or found[0])
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    rows = {r.doc_id: r for r in scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), vocabulary_size=vocabulary).collect()}
+    fold = {k: zlib.crc32(str(k).encode()) % 7 for k in texts}
+    told = {k: tokens(t) for k, t in texts.items()}
+    all_ = Counter(w for k in texts if fold[k] != 2 for w in told[k])
+    frequent, least = set(), 64
+    for size in sorted({int(math.log2(n)) for n in all_.values()}, reverse=True):
+        more = {w for w, n in all_.items() if int(math.log2(n)) == size}
+        if len(frequent) + len(more) > vocabulary:
+            break
+        frequent |= more
+    assert (len(frequent) < len(all_)) == (vocabulary == 10)
+
+    def counted(folds):
+        one = Counter(w for k in texts if fold[k] in folds for w in told[k])
+        class_ = lambda w: w if w in frequent else "rare"
+        seen = Counter()
+        for w, n in one.items():
+            seen[class_(w)] += n
+        two = Counter((class_(a), class_(b)) for k in texts if fold[k] in folds for a, b in zip([None, *told[k]], told[k], strict=False))
+        total, distinct = sum(one.values()), len(one)
+
+        def estimates(a, b):
+            context = seen[class_(a)]
+            p2 = two[class_(a), class_(b)] / context * one[b] / seen[class_(b)] if context and seen[class_(b)] else 0
+            return (1 + int(math.log2(context)) if context else 0), (p2, one[b] / total, 1 / (distinct + 1))
+
+        return estimates
+
+    full = counted({0, 1, 3, 4, 5, 6})
+    for k, r in rows.items():
+        want = sum(math.log10(sum(x * y for x, y in zip(p, found[0][c], strict=True))) for c, p in (full(a, b) for a, b in zip([None, *told[k]], told[k], strict=False)))
+        assert r.score == pytest.approx(want, rel=1e-9)
+    events = [counted({0, 1, 4, 5, 6})(a, b) for k in texts if fold[k] == 3 for a, b in zip([None, *told[k]], told[k], strict=False)]
+    exact = plain(lm.np.array([[c, *p, 1] for c, p in events]))
+    assert abs(exact - found[0])[[c for c, _ in events]].max() < 0.05
+    held = [r for r in rows.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) * (0.9 if vocabulary > 60 else 1)
+
+
+def test_lm_learns_from_pairs(spark):
+    """On the texts held out, word pairs gain over single words."""
+    held = [r for r in scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
+    assert sum(r.score for r in held) > -205_000 > 1.1 * sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_sql_gives_the_same_rows(spark):
     duckdb = pytest.importorskip("duckdb")
     from quillon.llm.queries import QUERIES, SQL
