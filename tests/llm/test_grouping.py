@@ -9,7 +9,7 @@ import xxhash
 
 from quillon.llm.chat import chain, chat_digest, format_chats, read_back
 from quillon.llm.components import components
-from quillon.llm.line_dedup import dedup_lines
+from quillon.llm.line_dedup import dedup_lines, edit_distance, edit_similar, edits_by_words
 from quillon.llm.packing import pack, plan
 from quillon.llm.simhash import MASKS, close_links, covering_masks, drop_near_duplicates, fingerprint, near_groups, simhash_digest
 
@@ -281,3 +281,58 @@ def test_pipeline(spark):
         else:
             assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert first.count() > sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] > 0
+
+
+def test_edit_distance(rng):
+    def plain(x, y):
+        d = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            e = [i]
+            for j, k in enumerate(y, 1):
+                e.append(min(e[-1] + 1, d[j] + 1, d[j - 1] + (c != k)))
+            d = e
+        return d[-1]
+
+    for _ in range(2000):
+        x = "".join(rng.choice("abé ") for _ in range(rng.randint(0, 60)))
+        y = list(x)
+        for _ in range(rng.randint(0, 15)):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "é", " ", "b"])
+        y = "".join(y)
+        want = plain(x, y)
+        for allowed in (0, 2, 8, 1000):
+            got = edit_distance(x, y, allowed)
+            assert got == want if want <= allowed else got > allowed
+        x, y = " ".join(x.split()), " ".join(y.split())
+        assert edits_by_words(x.split(), y.split()) >= plain(x, y)
+
+
+def test_similar_lines_are_found(spark):
+    """Of all pairs of distinct lines of real texts with an edit similarity of 0.8 or more, by brute force over lines that share a word pair, at least 0.9 are linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = {}
+    for r in docs.collect():
+        for i, line in enumerate((r.text or "").split("\n")):
+            words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]+", lambda m: m[0].lower(), line))
+            if len(" ".join(words)) >= 10:
+                lines.setdefault(" ".join(words), (r.doc_id, i, words))
+    by = defaultdict(set)
+    for said, (_, _, words) in lines.items():
+        for pair in zip(words, words[1:]):
+            by[pair].add(said)
+    pairs = {(x, y) for said in by.values() if len(said) < 200 for x in said for y in said if x < y and 4 * max(len(x), len(y)) < 5.01 * min(len(x), len(y))}
+    similar = {p for p in pairs if edit_similar(*p)}
+    assert len(similar) > 30
+    out = {r.doc_id: (r.text or "").split("\n") for r in dedup_lines(docs, least_words=1).collect()}
+    kept = {" ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]+", lambda m: m[0].lower(), line))) for t in out.values() for line in t}
+    # Linked lines are of one group, of which one stays.
+    assert sum(not (x in kept and y in kept) for x, y in similar) >= 0.9 * len(similar)
+
+
+@pytest.mark.parametrize("name", ["gone", "row", "lines", "doc", "key", "id", "stays", "print", "keys", "a", "said"])
+def test_any_column_name(spark, name):
+    rows = [(1, "one line of some words\nb c", 7), (2, "One line, of some words", 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` long")
+    assert sorted((r.text, r[name]) for r in dedup_lines(docs, least_words=1).where("doc_id IS NOT NULL").collect()) == [("", 8), (rows[0][1], 7)]
+    assert sorted(r[name] for r in drop_near_duplicates(docs).collect()) == [7, 8, 9]
