@@ -72,7 +72,7 @@ KINDS = (
     Kind("local_phone", r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", _has_digit, _true, 0.3, "phone|tel|call|mobile|fax", False),
 )
 BASE = 4
-#: Characters before a span in which context words count, what they add, and the score that an uncertain kind needs.
+#: Characters before a span, up to the match before the last one of its kind, in which context words count, what they add, and the score that an uncertain kind needs.
 NEAR, LIFT, LEAST = 40, 0.3, 0.5
 
 
@@ -82,11 +82,13 @@ def _spans(kind: Kind, rank: int, text: Column, found: Column) -> Column:
     def build(gaps: Column) -> Column:
         # Lengths of gap, match, gap, match, ...: every second running sum is where a match starts.
         lengths = F.flatten(F.transform(found, lambda m, i: F.array(F.length(gaps[i]).cast("long"), F.length(m).cast("long"))))
-        return let(sums_before(lengths), lambda at: F.transform(found, lambda m, i: span(m, at[i * 2 + 1])))
+        return let(sums_before(lengths), lambda at: F.transform(found, lambda m, i: span(m, at[i * 2 + 1], before(gaps, i))))
 
-    def span(m: Column, start: Column) -> Column:
-        first = F.greatest(start - NEAR, F.lit(0).cast("long"))
-        near = F.substr(text, (first + 1).cast("int"), (start - first).cast("int"))
+    def before(gaps: Column, i: Column) -> Column:
+        # From the pieces before the match: a look into the whole text would walk it from its start each time.
+        return F.right(F.concat(F.when(i > 0, F.concat(F.right(gaps[i - 1], F.lit(NEAR)), found[i - 1])).otherwise(""), gaps[i]), F.lit(NEAR))
+
+    def span(m: Column, start: Column, near: Column) -> Column:
         score = F.lit(kind.score) + F.when(lower_ascii(near).rlike(kind.context), F.lit(LIFT)).otherwise(0.0)
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"), kind.valid(m).alias("valid"))
 
@@ -120,10 +122,15 @@ def masked(docs: DataFrame, text: str = "text", mark: str = "*") -> DataFrame:
     """The texts with every character of a found span replaced; adds pii as find_pii() does. Null stays null."""
     found = find_pii(docs, text)
 
-    def hide(t: Column, s: Column) -> Column:
-        return F.overlay(t, F.repeat(F.lit(mark), (s["end"] - s["start"]).cast("int")), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    chars = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
+
+    def hide(all_: Column) -> Column:
+        hidden = F.array_distinct(F.flatten(F.transform("pii", lambda s: F.sequence(s["start"], s["end"] - 1))))
+        shown = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(all_).cast("long") - 1), hidden)
+        written = F.concat(F.transform(shown, lambda i: F.struct(i.alias("i"), F.get(all_, i.cast("int")).alias("c"))), F.transform(hidden, lambda i: F.struct(i.alias("i"), F.lit(mark).alias("c"))))
+        return F.array_join(F.transform(F.sort_array(written), lambda x: x["c"]), "")
 
-    return found.withColumn(text, F.when(F.size("pii") > 0, F.aggregate("pii", F.col(text), hide)).otherwise(F.col(text)))
+    return found.withColumn(text, F.when(F.size("pii") > 0, let(chars, hide)).otherwise(F.col(text)))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
