@@ -130,7 +130,9 @@ def read_back(formatted: Column) -> Column:
 def chat_digest(conversations: DataFrame) -> DataFrame:
     """Counts and hashes of the formatted conversations, all taken from the output."""
     out = format_chats(chain(conversations)).select("conv_id", "formatted", "loss", read_back(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    # Characters are told apart once: a look at each span would walk the text from its start.
+    chars = F.regexp_extract_all("formatted", F.lit("(?s)."), F.lit(0))
+    loss = let(chars, lambda all_: F.array_join(F.transform("loss", lambda s: unescape(F.array_join(F.slice(all_, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), ""))), ""))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("trained")).select(
         "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
