@@ -30,7 +30,7 @@ from .common import cut, without
 
 WINDOW, GRAM = 10, 5
 SLIDE = WINDOW - GRAM + 1
-#: Bytes of item texts in a block: what a task holds of the items is a small multiple of it.
+#: Bytes of item texts in a block; a task holds about five times as much of the items.
 BLOCK_BYTES = 16 << 20
 #: Bytes of documents that are hashed at once.
 BATCH_BYTES = 4 << 20
@@ -60,8 +60,8 @@ class Words(NamedTuple):
     hash: np.ndarray
     first: np.ndarray
 
-    def window(self, at: int, n: int) -> tuple[bytes, ...]:
-        return tuple(self.folded[a:b] for a, b in zip(self.start[at : at + n], self.end[at : at + n], strict=True))
+    def window(self, at: int, n: int) -> list[bytes]:
+        return [self.folded[a:b] for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -133,31 +133,57 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(views)) + last)
 
 
+class Windows(NamedTuple):
+    """Windows of one length: sorted distinct hashes; from where in word and item the windows of each hash are listed; and those lists."""
+
+    hash: np.ndarray
+    first: np.ndarray
+    word: np.ndarray
+    item: np.ndarray
+
+
 class Index(NamedTuple):
-    """Of a block of items: sorted fingerprints, and for each length of window its sorted hashes and items by words."""
+    """Of a block of items: their folded text with the places of all words, their ids, sorted fingerprints, and windows by length.
+
+    It takes about 26 bytes a word besides the ids.
+    """
 
+    folded: bytes
+    start: np.ndarray
+    end: np.ndarray
+    ids: list[list[str]]
     prints: np.ndarray
-    hashes: dict[int, np.ndarray]
-    items: dict[tuple[bytes, ...], list[str]]
+    windows: dict[int, Windows]
+
+    def words(self, at: int, n: int) -> list[bytes]:
+        return [self.folded[a:b] for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True)]
+
+    def items(self, n: int, at: int, words: list[bytes]) -> list[int]:
+        """Items with a window of these words, given where its hash is among those of its length."""
+        w = self.windows[n]
+        listed = range(int(w.first[at]), int(w.first[at + 1]))
+        return [int(w.item[i]) for i in listed if self.words(int(w.word[i]), n) == words]
 
 
 def build_index(rows: list[tuple[str, bytes]]) -> Index:
     same = defaultdict(set)  # items with the same words count as one until the end
     for item, text in rows:
-        same[tuple(text.translate(_FOLD).split())].add(item)
-    prints, hashes, items = [], defaultdict(list), defaultdict(set)
-    for words, ids in same.items():
-        if not words:
-            continue
-        w = read_words([b" ".join(words)])
-        n = min(WINDOW, len(words))
-        hashes[n].append(runs(w.hash, n))
-        for i in range(len(words) - n + 1):
-            items[words[i : i + n]] |= ids
+        same[b" ".join(text.translate(_FOLD).split())].add(item)
+    texts = sorted(t for t in same if t)
+    w = read_words(texts)
+    sizes = np.diff(w.first)
+    windows, prints = {}, [np.zeros(0, np.uint64)]
+    for n in sorted(set(np.minimum(sizes, WINDOW).tolist())):
+        chosen = np.flatnonzero(np.minimum(sizes, WINDOW) == n)
+        count = sizes[chosen] - n + 1
+        at = np.repeat(w.first[chosen], count) + _ramp(count)
+        hashes, item = runs(w.hash, n)[at], np.repeat(chosen, count)
+        order = np.lexsort((item, hashes))
+        distinct, first = np.unique(hashes[order], return_index=True)
+        windows[n] = Windows(distinct, np.append(first, len(order)), at[order].astype(np.int32), item[order].astype(np.int32))
         if n == WINDOW:
-            grams = runs(w.hash, GRAM)
-            prints.append(grams[winnowed(grams)])
-    return Index(np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64), {n: np.unique(np.concatenate(h)) for n, h in hashes.items()}, {k: sorted(v) for k, v in items.items()})
+            prints += [(g := runs(w.hash[w.first[i] : w.first[i + 1]], GRAM))[winnowed(g)] for i in chosen.tolist()]
+    return Index(w.folded, w.start.astype(np.int32), w.end.astype(np.int32), [sorted(same[t]) for t in texts], np.unique(np.concatenate(prints)), windows)
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -170,24 +196,28 @@ def find_hits(texts: list[bytes | None], index: Index) -> list[tuple[int, list[t
     """For each text its number of words, the hit spans of words (start, end) and the items found."""
     w = read_words(texts)
     starts = []
-    if WINDOW in index.hashes:
+    if WINDOW in index.windows:
         grams = runs(w.hash, GRAM)
         spots = winnowed(grams)  # over the whole batch: windows within a text select the same as in the text alone
         spots = spots[_among(grams[spots], index.prints)]
         around = np.unique((spots[:, None] - np.arange(SLIDE)).ravel())
         starts.append((WINDOW, around[(around >= 0) & (around <= len(w.hash) - WINDOW)]))
-    starts += [(n, np.arange(max(0, len(w.hash) - n + 1))) for n in index.hashes if n < WINDOW]
-    found: dict[int, tuple[list[tuple[int, int]], set[str]]] = defaultdict(lambda: ([], set()))
+    starts += [(n, np.arange(max(0, len(w.hash) - n + 1))) for n in index.windows if n < WINDOW]
+    found: dict[int, tuple[list[tuple[int, int]], set[int]]] = defaultdict(lambda: ([], set()))
     for n, at in starts:
-        at = at[_among(runs(w.hash, n)[at], index.hashes[n])] if len(at) else at
+        known = index.windows[n].hash
+        at = at[_among(runs(w.hash, n)[at], known)] if len(at) else at
         text = np.searchsorted(w.first, at, side="right") - 1
         inside = at + n <= w.first[np.minimum(text + 1, len(w.first) - 1)]
-        for k, p in zip(text[inside].tolist(), at[inside].tolist(), strict=True):
-            if ids := index.items.get(w.window(p, n)):
+        at, text = at[inside], text[inside]
+        where = np.searchsorted(known, runs(w.hash, n)[at]) if len(at) else at
+        for k, p, i in zip(text.tolist(), at.tolist(), where.tolist(), strict=True):
+            if items := index.items(n, i, w.window(p, n)):
                 found[k][0].append((p - int(w.first[k]), p - int(w.first[k]) + n))
-                found[k][1].update(ids)
+                found[k][1].update(items)
     sizes = np.diff(w.first).tolist()
-    return [(sizes[k], _merged(found[k][0]), sorted(found[k][1])) if k in found else (sizes[k], [], []) for k in range(len(texts))]
+    ids = lambda items: sorted({i for item in items for i in index.ids[item]})
+    return [(sizes[k], _merged(found[k][0]), ids(found[k][1])) if k in found else (sizes[k], [], []) for k in range(len(texts))]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -220,13 +250,33 @@ def _hits(index: Broadcast, text: str) -> Column:
     return found(F.col(text))
 
 
+def _parts(text: bytes, limit: int) -> Iterator[bytes]:
+    """A text in parts of about limit bytes; each starts with the WINDOW - 1 words before it, so that every window is in one of them."""
+    while len(text) > 2 * limit:
+        cut_at = text.rfind(b" ", 0, limit)
+        head = text[: cut_at if cut_at > 0 else limit]
+        before = head.split()[1 - WINDOW :]
+        # A part without enough spaces for its window isn't split.
+        if len(before) < WINDOW - 1 or cut_at <= 0 or sum(map(len, before)) > limit // 2:
+            break
+        yield head
+        text = b" ".join(before) + text[cut_at:]
+    yield text
+
+
 def _blocks(items: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of bounded size. A block holds the items of a share of their hashes; the share follows the total size."""
-    kept = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
-    total = kept.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    n = max(1, -(-total // limit))
-    for b in range(n):
-        yield [(r["i"], r["t"].encode()) for r in kept.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).toLocalIterator()]
+    """The distinct items in blocks of about limit bytes; longer ones are split. One partition of items is on the driver at a time."""
+    kept = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").distinct()
+    block, held, none = [], 0, True
+    for r in kept.toLocalIterator():
+        for part in _parts(b" ".join(r["t"].encode().translate(_FOLD).split()), limit):
+            block.append((r["i"], part))
+            held += len(part) + 64
+            if held >= limit:
+                yield block
+                block, held, none = [], 0, False
+    if block or none:
+        yield block
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
