@@ -141,8 +141,8 @@ def test_lm(spark, rng):
     assert scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("vocabulary", [10, 1000])
-def test_lm_scores_by_brute_force(spark, rng, vocabulary, monkeypatch):
+@pytest.mark.parametrize(("vocabulary", "hot"), [(10, 5), (1000, 40), (1000, 10**6)])
+def test_lm_scores_by_brute_force(spark, rng, vocabulary, hot, monkeypatch):
     """Counts, classes and the mixture in plain Python, with the weights that were learned; and the weights by plain expectation-maximisation."""
     words = [f"w{i}" for i in range(60)]
     follow = {w: rng.sample(words, 4) for w in words}
@@ -156,6 +156,7 @@ def test_lm_scores_by_brute_force(spark, rng, vocabulary, monkeypatch):
     found, plain = [], lm.learn_weights
     monkeypatch.setattr(lm, "learn_weights", lambda events: found.append(plain(events)) or found[0])
     monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(lm, "HOT", hot)
     rows = {r.doc_id: r for r in scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), vocabulary_size=vocabulary).collect()}
     fold = {k: zlib.crc32(str(k).encode()) % 7 for k in texts}
     told = {k: tokens(t) for k, t in texts.items()}
