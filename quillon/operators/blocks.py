@@ -6,12 +6,14 @@ bounds that its own literal calls for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import literal_number, number
-from ..plans.predicates import And, Cmp, Not, Or, Predicate
+from ..plans.predicates import And, Cmp, Like, Missing, Not, Or, Predicate
 from .table import Table
 
 #: A column is numeric if at least this share of its filled cells in the first block are numbers.
@@ -36,9 +38,9 @@ def build_blocks(table: Table, block_rows: int = 65_536) -> DataFrame:
     rows = table.df.select("*", F.monotonically_increasing_id().alias("__row"), path.alias("__file"), size.alias("__size"), mtime.alias("__mtime"))
     split, within = F.shiftright("__row", 33), F.col("__row").bitwiseAND((1 << 33) - 1)
     placed = rows.withColumn("__block", F.struct(split.alias("s"), F.floor(within / block_rows).alias("b")))
-    cells = F.explode(F.array(*[F.struct(F.lit(h).alias("column"), F.lit(i).alias("place"), F.col(f"`{c}`").cast("string").alias("v")) for i, (h, c) in enumerate(zip(table.header, table.df.columns, strict=False))])).alias("c")
+    cells = F.inline(F.array(*[F.struct(F.lit(h).alias("column"), F.lit(i).alias("place"), F.col(f"`{c}`").cast("string").alias("v")) for i, (h, c) in enumerate(zip(table.header, table.df.columns, strict=False))]))
     value = F.when(F.col("v") != "", number(F.col("v")))
-    stats = placed.select("__block", "__row", "__file", "__size", "__mtime", cells).select("*", "c.*").groupBy("__block", "place", "column").agg(
+    stats = placed.select("__block", "__row", "__file", "__size", "__mtime", cells).groupBy("__block", "place", "column").agg(
         F.min("__row").alias("start_row"), (F.max("__row") + 1).alias("end_row"),
         F.min(F.when(F.col("v") != "", F.col("v"))).alias("min_str"), F.max(F.when(F.col("v") != "", F.col("v"))).alias("max_str"),
         F.min(F.when(~F.isnan(value), value)).alias("min_num"), F.max(F.when(~F.isnan(value), value)).alias("max_num"),
@@ -70,7 +72,7 @@ def can_skip(predicate: Predicate) -> Column:
             return can_skip(a) | can_skip(b)
         case Or(a, b):
             return can_skip(a) & can_skip(b)
-        case Not():
+        case Not() | Like() | Missing():
             return F.lit(False)
         case Cmp(name, op, value):
             stats = F.element_at("s", F.lit(name.strip().lower()))
@@ -95,10 +97,32 @@ def _excluded(s: Column, op: str, value: object) -> Column:
 
 
 def blocks_to_read(blocks: DataFrame, predicate: Predicate) -> DataFrame:
-    """(block_id, start_row, end_row) of the blocks that may hold a match."""
+    """(block_id, start_row, end_row, file) of the blocks that may hold a match."""
     stats = F.map_from_entries(F.collect_list(F.struct(F.lower(F.trim("column")), F.struct("min_str", "max_str", "min_num", "max_num", "empty_count", "cells", "numbers", "nans"))))
-    by_block = blocks.groupBy("block_id").agg(stats.alias("s"), F.min("start_row").alias("start_row"), F.max("end_row").alias("end_row"))
-    return by_block.where(~can_skip(predicate)).select("block_id", "start_row", "end_row")
+    by_block = blocks.groupBy("block_id").agg(stats.alias("s"), F.min("start_row").alias("start_row"), F.max("end_row").alias("end_row"), F.min("file").alias("file"))
+    return by_block.where(~can_skip(predicate)).select("block_id", "start_row", "end_row", "file")
+
+
+def save_blocks(blocks: DataFrame, folder: str) -> None:
+    """Keeps the statistics as Parquet."""
+    blocks.write.mode("overwrite").parquet(folder)
+
+
+def load_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
+def pruned_scan(table: Table, blocks: DataFrame, predicate: Predicate) -> Table:
+    """The rows that match, read only from files with a block that may hold one.
+
+    Statistics that no longer fit the files are not used: then the whole table is read. Inside a file
+    Spark splits by bytes; there row groups of Parquet skip, see to_sorted_parquet(). The names of
+    files are on the driver as they are in every scan.
+    """
+    if not is_current(blocks, table):
+        return table.where(predicate)
+    files = [r["file"] for r in blocks_to_read(blocks, predicate).select("file").distinct().collect()]
+    return replace(table, df=table.df.where(F.col("_metadata.file_path").isin(files))).where(predicate)
 
 
 def to_sorted_parquet(table: Table, folder: str, *columns: str) -> None:

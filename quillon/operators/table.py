@@ -47,6 +47,8 @@ class Table:
     header: list[str]
     #: Places of averages, which are null over no number until they are put out.
     averages: tuple[int, ...] = ()
+    #: Rows are to be numbered by their order: not before filters, which then still reach the scan.
+    unnumbered: bool = False
 
     @classmethod
     def of(cls, df: DataFrame) -> Table:
@@ -64,28 +66,65 @@ class Table:
 
     def ordered(self) -> Table:
         """Remembers the order of a single file's rows, for order-preserving output. Several files have no defined order."""
-        return replace(self, df=self.df.withColumn(POSITION, F.monotonically_increasing_id()))
+        return self if self.is_ordered else replace(self, unnumbered=True)
 
     @property
     def is_ordered(self) -> bool:
-        return POSITION in self.df.columns
+        return self.unnumbered or POSITION in self.df.columns
+
+    def numbered(self) -> Table:
+        """With the rows' order as a column, if the table is ordered."""
+        return replace(self, df=self.df.withColumn(POSITION, F.monotonically_increasing_id()), unnumbered=False) if self.unnumbered else self
 
     def where(self, predicate: Predicate) -> Table:
         return replace(self, df=self.df.where(lower(predicate, self._resolve)))
 
-    def select(self, *names: str) -> Table:
-        """Columns in the order given, repeats allowed; * or none is all. Output names are spelled as in the header."""
+    def select(self, *names: str | tuple[str, str]) -> Table:
+        """Columns in the order given, repeats allowed; * or none is all. A pair is a column and its new name; else names are spelled as in the header."""
         if not names or names == ("*",):
             return self
-        places = [self._place(n) for n in names]
-        columns = [F.col(f"`{self.df.columns[p]}`").alias(f"p{i}") for i, p in enumerate(places)]
-        return Table(self.df.select(*columns, *[POSITION] * self.is_ordered), [self.header[p] for p in places], tuple(i for i, p in enumerate(places) if p in self.averages))
+        t = self.numbered()
+        pairs = [n if isinstance(n, tuple) else (n, None) for n in names]
+        places = [t._place(n) for n, _ in pairs]
+        columns = [F.col(f"`{t.df.columns[p]}`").alias(f"p{i}") for i, p in enumerate(places)]
+        header = [alias or t.header[p] for p, (_, alias) in zip(places, pairs, strict=True)]
+        return Table(t.df.select(*columns, *[POSITION] * t.is_ordered), header, tuple(i for i, p in enumerate(places) if p in t.averages))
+
+    def limit(self, n: int, offset: int = 0) -> Table:
+        """The first n rows after offset of them if ordered, else any n. Of an order by columns Spark keeps n + offset rows a task."""
+        if n < 0 or offset < 0:
+            raise ValueError("LIMIT and OFFSET must not be negative")
+        t = self.numbered()
+        df = t.df.orderBy(POSITION) if t.is_ordered else t.df
+        return replace(t, df=(df.offset(offset) if offset else df).limit(n))
+
+    def order_by(self, *keys: str | tuple[str, str]) -> Table:
+        """Rows by columns, each a name or a pair of name and "asc" or "desc". Text cells that are numbers come first, by value, then other text; missing numbers come first of all."""
+        t = replace(self, unnumbered=False)
+        order: list[Column] = []
+        for k in keys:
+            name, way = k if isinstance(k, tuple) else (k, "asc")
+            if way not in ("asc", "desc"):
+                raise ValueError(f"unknown order {way!r}; known: asc, desc")
+            column, kind = t._resolve(name)
+            parts = [number(column).isNull(), number(column), column] if isinstance(kind, T.StringType) else [column]
+            order += [p.asc() if way == "asc" else p.desc() for p in parts]
+        return replace(t, df=t.df.drop(POSITION).orderBy(*order))
 
-    def limit(self, n: int) -> Table:
-        """The first n rows if ordered, else any n."""
-        if n < 0:
-            raise ValueError("LIMIT must not be negative")
-        return replace(self, df=(self.df.orderBy(POSITION) if self.is_ordered else self.df).limit(n))
+    def distinct(self) -> Table:
+        """Each different row once, the first of them if ordered."""
+        t = self.numbered()
+        return replace(t, df=t.df.groupBy([c for c in t.df.columns if c != POSITION]).agg(F.min(POSITION).alias(POSITION)) if t.is_ordered else t.df.distinct())
+
+    def with_case(self, name: str, cases: Sequence[tuple[Predicate, object]], default: object = None) -> Table:
+        """One more column: the value of the first case whose predicate holds, else the default."""
+        if not cases:
+            raise ValueError("CASE needs a case")
+        t, value = self.numbered(), None
+        for predicate, result in cases:
+            holds = lower(predicate, t._resolve)
+            value = F.when(holds, F.lit(result)) if value is None else value.when(holds, F.lit(result))
+        return replace(t, df=t.df.select(*[c for c in t.df.columns if c != POSITION], value.otherwise(F.lit(default)).alias(f"case{len(t.header)}"), *[POSITION] * t.is_ordered), header=[*t.header, name])
 
     def group_by(self, *keys: str) -> Grouped:
         return Grouped(self, list(keys))
@@ -115,7 +154,7 @@ class Grouped:
         COUNT counts rows whatever its column. SUM and AVG of no number are 0, MIN and MAX null.
         Text cells that don't read as numbers are left out, of not-a-number MIN and MAX too.
         """
-        t = self.table
+        t = self.table.numbered()
         keys = [F.col(f"`{t.df.columns[t._place(k, 'GROUP BY column')]}`") for k in self.keys]
         columns = [_aggregate(a, *(t._resolve(a.column) if a.column != "*" else (F.lit(1), T.IntegerType()))).alias(f"a{i}") for i, a in enumerate(aggs)]
         columns += [F.min(POSITION).alias(POSITION)] * t.is_ordered
@@ -137,6 +176,8 @@ def _aggregate(agg: Agg, column: Column, kind: T.DataType) -> Column:
         extreme = F.when(~F.isnan(value), value)
     else:
         value = extreme = column.cast("double")
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            extreme = F.when(~F.isnan(value), value)
     match function:
         case "SUM":
             return F.coalesce(F.sum(value), F.lit(0.0))

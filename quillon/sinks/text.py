@@ -29,6 +29,7 @@ def write_csv_text(table: Table, out: TextIO) -> int:
     Aggregates and other doubles get two decimals; an average of no number is 0, a least or largest one empty. Rows pass the driver one partition at a time.
     Returns the number of rows.
     """
+    table = table.numbered()
     df = table.df.orderBy(POSITION).drop(POSITION) if table.is_ordered else table.df
     out.write(",".join(map(_quoted, table.header)) + "\n")
     n = 0

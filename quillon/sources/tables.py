@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import shutil
+import atexit
 import sys
 import tempfile
 import uuid
-from pathlib import Path
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,10 @@ from ..operators.table import Table
 CSV = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "inferSchema": "false", "maxCharsPerColumn": "-1"}
 
 
+#: Bytes of standard input that are written at once.
+SPOOLED = 1 << 20
+
+
 def _header(spark: SparkSession, path: str, multiline: bool) -> list[str]:
     first = spark.read.options(**CSV | {"header": "false", "multiLine": str(multiline).lower()}).csv(path).limit(1).collect()
     if not first:
@@ -47,19 +50,31 @@ def read_parquet(spark: SparkSession, path: str) -> Table:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; only without a configured one a local temporary folder."""
+    """A new folder that driver and executors share; only without a configured one a local temporary folder. It goes when Python ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quillon-")
+    folder = f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quillon-")
+    atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    if jvm := spark.sparkContext._jvm:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def read_stdin(spark: SparkSession, source: BinaryIO | None = None, folder: str | None = None) -> Table:
-    """CSV from standard input, spooled to a file first; folder must be visible to the executors."""
-    at = Path(folder or tempfile.mkdtemp(prefix="quillon-stdin-"))
-    at.mkdir(parents=True, exist_ok=True)
-    spool = at / "stdin.csv"
-    with spool.open("wb") as out:
-        shutil.copyfileobj(source or sys.stdin.buffer, out)
-    return read_csv(spark, spool.as_uri())
+    """CSV from standard input, spooled first to a file in a folder that driver and executors share."""
+    spool = f"{(folder or scratch(spark)).rstrip('/')}/stdin.csv"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(spool)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        while part := (source or sys.stdin.buffer).read(SPOOLED):
+            out.write(bytearray(part))
+    finally:
+        out.close()
+    return read_csv(spark, spool)
 
 
 def stream_csv(spark: SparkSession, folder: str, header: list[str], files_per_trigger: int | None = None) -> Table:
