@@ -33,7 +33,7 @@ SLIDE = WINDOW - GRAM + 1
 #: Bytes of item texts in a block; a task holds about five times as much of the items.
 BLOCK_BYTES = 16 << 20
 #: Bytes of documents that are hashed at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 
 #: Lower case, and a space for every byte that is no part of a word: words are digits, letters and bytes from 128 on.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -64,7 +64,15 @@ class Words(NamedTuple):
         return [self.folded[a:b] for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True)]
 
 
-@lru_cache(maxsize=4)
+#: Bytes for which the powers are kept; longer texts make theirs.
+KEPT = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _prefix_powers(KEPT)
+
+
 def _prefix_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     inverse = np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
@@ -86,7 +94,7 @@ class Bytes(NamedTuple):
 
 def read_bytes(folded: bytes) -> Bytes:
     data = np.frombuffer(folded, np.uint8)
-    powers, inverse = _prefix_powers(1 << max(20, len(data).bit_length()))
+    powers, inverse = _kept_powers() if len(data) <= KEPT else _prefix_powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
     return Bytes(folded, sums, inverse)
