@@ -187,13 +187,13 @@ def rate(rated: DataFrame, model: Model) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the signals, p_good, base_failed and kept to every row; the texts are read twice.
+    """Adds the signals, p_good, base_failed and kept to every row; the rows are kept with their signals in between.
 
     The model is estimated from all rows. Null and empty texts have no words and so fail the base
     rules. Repeated rows vote and are judged each; an empty table stays empty. Columns with the names
     of the new ones are replaced.
     """
-    rated = more_signals(docs, text)
+    rated = cut(more_signals(docs, text))
     return rate(rated, estimate(rated))
 
 
