@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.blocks import build_blocks
+from .operators.blocks import build_blocks, load_blocks, pruned_scan, save_blocks
 from .operators.table import Agg, Grouped, Table
 from .plans.predicates import Field, field
-from .sinks.text import write_csv
+from .sinks.text import write_csv, write_csv_text
 from .sources.generate import orders
-from .sources.tables import read_csv, read_parquet, scratch
+from .sources.tables import read_csv, read_parquet, read_stdin, scratch, stream_csv
+from .streaming.live import running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,3 +132,93 @@ SQL |= {
     "block_stats": " UNION ALL ".join(_bounds.format(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
     "generated_orders": "SELECT CAST(100000 AS BIGINT) AS n, CAST(1000 AS DOUBLE) AS low",
 }
+
+# ---- filters and clauses beside comparisons
+
+_add("filter_in", "orders", lambda t: t.where(_status.isin("O", "P")).select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P')")
+_add("filter_not_in", "lineitem", lambda t: t.where(~_quantity.isin(1, 25, 50)).select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity NOT IN (1, 25, 50)")
+_add("filter_between", "orders", lambda t: t.where(_price.between(50000, 60000)).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000")
+_add("filter_like", "customer", lambda t: t.where(field("c_name").like("%7_")).select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%7_'")
+_add("select_alias", "orders", lambda t: t.select(("o_orderkey", "id"), ("o_totalprice", "price")), "SELECT o_orderkey AS id, o_totalprice AS price FROM orders")
+_add("select_distinct", "lineitem", lambda t: t.select("l_returnflag", "l_linestatus").distinct(), "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+_add("top_k", "orders", lambda t: t.order_by(("o_totalprice", "desc"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+_add("limit_offset", "lineitem", lambda t: t.select("l_orderkey", "l_linenumber").order_by("l_orderkey", ("l_linenumber", "desc")).limit(40, offset=15), "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber DESC LIMIT 40 OFFSET 15")
+_add("case_when", "events", lambda t: t.with_case("size", [(_value >= 400, "large"), ((_value >= 100) & ~(_type == "error"), "middle")], "small").select("event_id", "size"), "SELECT event_id, CASE WHEN value >= 400 THEN 'large' WHEN value >= 100 AND NOT event_type = 'error' THEN 'middle' ELSE 'small' END AS size FROM events")
+_add("having", "lineitem", lambda t: t.group_by("l_suppkey").agg(Agg("COUNT", name="n")).where(field("n") > 5), "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 5")
+_add("ordered_filter", "orders", lambda t: t.ordered().where(_price > 400000).select("o_orderkey").limit(50), "SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 LIMIT 50")
+
+
+# ---- cells that are no number, missing, or not-a-number
+
+
+def _made(name: str, column: Callable[[], Column], build: Callable[[Table], Table], sql: str) -> None:
+    """Over events with one more column x."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = build(Table.of(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", column().alias("x")))).to_df()
+        return df.select([F.round(c, 2).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_id = lambda: F.col("event_id")
+#: A number as text, a word, or nothing; and a double that may be not-a-number.
+_mixed = lambda: F.when(_id() % 3 == 0, F.col("value").cast("string")).when(_id() % 3 == 1, F.col("event_type")).otherwise("")
+_nan = lambda: F.when((_id() % 5 == 0) | (F.col("event_type") == "view"), F.lit(float("nan"))).otherwise(F.col("value"))
+_mixed_sql = "(SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN event_type ELSE '' END AS x FROM events)"
+_nan_sql = "(SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 OR event_type = 'view' THEN 'nan'::DOUBLE ELSE value END AS x FROM events)"
+_x = field("x")
+for _n, _p, _w in (
+    ("gt", _x > 250, "TRY_CAST(x AS DOUBLE) > 250"), ("ne", _x != 250, "TRY_CAST(x AS DOUBLE) != 250"), ("not_gt", ~(_x > 250), "NOT coalesce(TRY_CAST(x AS DOUBLE) > 250, false)"),
+    ("missing", _x.missing(), "x = ''"), ("not_missing", ~_x.missing(), "x <> ''"), ("empty", _x == "", "x = ''"), ("text", _x < "error", "x < 'error'"),
+):
+    _made(f"mixed_{_n}", _mixed, lambda t, p=_p: t.where(p).select("event_id"), f"SELECT event_id FROM {_mixed_sql} WHERE {_w}")
+for _n, _p, _w in (
+    ("gt", _x > 250, "x > 250 AND NOT isnan(x)"), ("le", _x <= 250, "x <= 250"), ("ne", _x != 250, "x != 250"), ("not_gt", ~(_x > 250), "NOT (x > 250 AND NOT isnan(x))"),
+    ("eq_nan", _x == "nan", "false"), ("ne_nan", _x != "nan", "true"),
+):
+    _made(f"typed_nan_{_n}", _nan, lambda t, p=_p: t.where(p).select("event_id"), f"SELECT event_id FROM {_nan_sql} WHERE {_w}")
+_made("typed_nan_extremes", _nan, lambda t: t.group_by("event_type").agg(Agg("COUNT", name="n"), Agg("MIN", "x", "low"), Agg("MAX", "x", "high")), f"SELECT event_type, count(*) AS n, round(min(x) FILTER (NOT isnan(x)), 2) AS low, round(max(x) FILTER (NOT isnan(x)), 2) AS high FROM {_nan_sql} GROUP BY 1")
+_made("mixed_aggregates", _mixed, lambda t: _five(t.group_by("event_type"), "x"), f"SELECT event_type, {_five_sql.format('TRY_CAST(x AS DOUBLE)')} FROM {_mixed_sql} GROUP BY 1")
+_made("group_without_numbers", _mixed, lambda t: _five(t.where(_x.missing()).group_by("event_type"), "x"), f"SELECT event_type, count(*) AS n, 0.0::DOUBLE AS total, 0.0::DOUBLE AS mean, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM {_mixed_sql} WHERE x = '' GROUP BY 1")
+
+
+# ---- blocks, standard input, streams
+
+
+def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block of a file with its bounds."""
+    return build_blocks(_as_csv(spark, sf_dir, "customer"), 100).where(F.col("column") == "c_custkey").select("block_id", "start_row", "end_row", "type", "min_num", "max_num", "empty_count", "cells")
+
+
+def pruned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter over files of which saved statistics leave few."""
+    folder, kept = scratch(spark), scratch(spark)
+    Table.of(spark.read.parquet(f"{sf_dir}/orders.parquet").repartitionByRange(8, "o_totalprice")).df.write.mode("overwrite").options(header="true").csv(folder)
+    t = read_csv(spark, folder)
+    save_blocks(build_blocks(t, 5000), kept)
+    return pruned_scan(t, load_blocks(spark, kept), _price > 450000).select("o_orderkey", "o_totalprice").to_df()
+
+
+def stdin_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = io.StringIO()
+    write_csv_text(read_parquet(spark, f"{sf_dir}/nation.parquet"), out)
+    return read_stdin(spark, io.BytesIO(out.getvalue().encode())).group_by("n_regionkey").agg(Agg("COUNT", name="n"), Agg("MAX", "n_nationkey", "high")).to_df()
+
+
+def stream_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts over a folder of CSV files, after all that has arrived."""
+    folder, name = scratch(spark), "quillon_stream_group"
+    write_csv(read_parquet(spark, f"{sf_dir}/customer.parquet"), folder)
+    header = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    running(stream_csv(spark, folder, header).where(field("c_acctbal") > 0).group_by("c_mktsegment").agg(Agg("COUNT", name="n")), name, scratch(spark)).awaitTermination()
+    return spark.table(name)
+
+
+QUERIES |= {"block_rows": block_rows, "pruned_blocks": pruned_blocks, "stdin_group": stdin_group, "stream_group": stream_group}
+SQL |= {
+    "block_rows": "SELECT CAST(b AS BIGINT) AS block_id, CAST(b * 100 AS BIGINT) AS start_row, CAST(b * 100 + count(*) AS BIGINT) AS end_row, 'numeric' AS type, CAST(min(c_custkey) AS DOUBLE) AS min_num, CAST(max(c_custkey) AS DOUBLE) AS max_num, CAST(0 AS BIGINT) AS empty_count, count(*) AS cells FROM (SELECT c_custkey, (row_number() OVER () - 1) // 100 AS b FROM customer) GROUP BY b",
+    "pruned_blocks": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders WHERE o_totalprice > 450000",
+    "stdin_group": "SELECT CAST(n_regionkey AS VARCHAR) AS n_regionkey, count(*) AS n, CAST(max(n_nationkey) AS DOUBLE) AS high FROM nation GROUP BY 1",
+    "stream_group": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1",
+}

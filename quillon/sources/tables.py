@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import sys
 import tempfile
 import uuid
+from pathlib import Path
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +60,10 @@ def scratch(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
-    if jvm := spark.sparkContext._jvm:
+    if Path(folder).is_dir():
+        shutil.rmtree(folder, ignore_errors=True)
+    elif spark.sparkContext._jsc:  # not stopped
+        jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 

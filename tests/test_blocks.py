@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillon.operators.blocks import blocks_to_read, build_blocks, is_current, to_sorted_parquet
+from quillon.operators.blocks import blocks_to_read, build_blocks, is_current, load_blocks, pruned_scan, save_blocks, to_sorted_parquet
 from quillon.plans.predicates import field
 from quillon.sources.generate import orders
 from quillon.sources.tables import read_csv
@@ -31,9 +31,10 @@ def test_pruning_keeps_every_match(table, predicate, kept):
     assert found == kept
 
 
-def test_validation(spark, table):
+def test_validation(spark, table, tmp_path):
     t, p = table
-    blocks = build_blocks(t, 50).localCheckpoint()
+    save_blocks(build_blocks(t, 50), str(tmp_path / "blocks"))
+    blocks = load_blocks(spark, str(tmp_path / "blocks"))
     assert is_current(blocks, t)
     with p.open("a") as out:
         out.write("200,x\n")
@@ -50,3 +51,29 @@ def test_generator(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert a.where("total_minor < 0 OR quantity NOT BETWEEN 1 AND 5 OR discount_minor > price_minor / 5").count() == 0
     assert orders(spark, 3, in_time=True).collect()[1]["created_at"] == "2023-01-01T00:00:01Z"
+
+
+def test_pruned_scan_reads_fewer_files(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    spark.range(400).selectExpr("id", "id % 7 AS v").repartitionByRange(4, "id").write.option("header", "true").csv(folder)
+    t = read_csv(spark, folder)
+    save_blocks(build_blocks(t, 50), str(tmp_path / "blocks"))
+    blocks = load_blocks(spark, str(tmp_path / "blocks"))
+    found = pruned_scan(t, blocks, (field("id") >= 10) & (field("id") < 20))
+    assert sorted(int(r["id"]) for r in found.to_df().collect()) == list(range(10, 20))
+    out = found.df
+    out.collect()
+    scans = []
+
+    def walk(node):
+        if "FileScan" in node.nodeName() or "Scan csv" in node.nodeName():
+            scans.append(node)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    plan = out._jdf.queryExecution().executedPlan()
+    walk(plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan)
+    assert [s.metrics().apply("numFiles").value() for s in scans] == [1]
+    with (tmp_path / "many" / "later.csv").open("w") as f:
+        f.write("id,v\n15,1\n")
+    assert pruned_scan(read_csv(spark, folder), blocks, field("id") == 15).df.count() == 2

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quillon.functions.numbers import literal_number
-from quillon.operators.table import Agg
+from quillon.operators.table import Agg, Table
 from quillon.plans.predicates import And, Cmp, Not, Or, field
 from quillon.sinks.text import write_csv, write_csv_text, write_json
 from quillon.sources.tables import read_csv, read_stdin, stream_csv
@@ -146,3 +146,41 @@ def test_stdin_and_streams(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
     running(t.group_by("k").agg(Agg("COUNT", name="n"), Agg("SUM", "v", "s")), "sums", str(tmp_path / "cp2")).awaitTermination()
     assert {tuple(r) for r in spark.table("sums").collect()} == {("a", 2, 1.0), ("b", 1, 2.0)}
+
+
+def test_not_a_number_in_typed_columns(spark):
+    t = Table.of(spark.createDataFrame([(1, float("nan")), (2, 3.0), (3, 9.0), (4, None)], "k long, v double"))
+    ids = lambda p: sorted(r["k"] for r in t.where(p).to_df().collect())
+    v = field("v")
+    assert [ids(p) for p in (v > 5, v >= 3, v < 5, v == 3, v != 3, v == "nan", v != "nan", ~(v > 5))] == [[3], [2, 3], [2], [2], [1, 3], [], [1, 2, 3], [1, 2, 4]]
+    assert t.aggregate(Agg("MIN", "v"), Agg("MAX", "v")).to_df().first()[:] == (3.0, 9.0)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id", "cast(id AS double) AS v").coalesce(1).write.parquet(str(tmp_path / "p"))
+    t = Table.of(spark.read.parquet(str(tmp_path / "p")))
+    for table in (t.where(field("v") > 50), t.ordered().where(field("v") > 50), t.ordered().where(field("v") > 50).limit(3), t.where(field("v").between(3, 5))):
+        plan = table.df._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThan" in plan.split("PushedFilters")[1]
+    assert [r["id"] for r in t.ordered().where(field("v") > 50).limit(3).to_df().collect()] == [51, 52, 53]
+
+
+def test_times_are_checked(spark):
+    t = Table.of(spark.sql("SELECT TIMESTAMP_NTZ '2020-05-01 10:00:00' AS at"))
+    assert t.where(field("at") >= "2020-05").df.count() == t.where(field("at") < "2020-05-01 10:00:01.5").df.count() == 1
+    for bad in ("soon", "2020-13-01", "2020-02-30", 7):
+        with pytest.raises(ValueError, match="not a date or time"):
+            t.where(field("at") > bad)
+
+
+def test_clauses(csv):
+    t = csv("k,v\na,10\nb,9\nc,x\nd,\na,10\n").ordered()
+    assert [r["k"] for r in t.order_by(("v", "desc"), "k").to_df().collect()] == ["c", "d", "a", "a", "b"]
+    assert [r["k"] for r in t.distinct().limit(10).to_df().collect()] == ["a", "b", "c", "d"]
+    assert [r["k"] for r in t.limit(2, offset=1).to_df().collect()] == ["b", "c"]
+    assert t.select(("k", "key")).to_df().columns == ["key"]
+    assert [r["size"] for r in t.with_case("size", [(field("v") > 9, "big"), (field("v").missing(), "none")], "other").limit(9).to_df().collect()] == ["big", "other", "other", "none", "big"]
+    assert t.where(field("k").isin("a", "z")).df.count() == 2 and t.where(field("k").isin()).df.count() == 0 and t.where(~field("k").like("_")).df.count() == 0
+    for bad in (lambda: t.order_by(("k", "up")), lambda: t.with_case("c", []), lambda: t.limit(1, -1), lambda: t.select("none")):
+        with pytest.raises(ValueError):
+            bad()
