@@ -32,8 +32,8 @@ from .common import without
 MARK = "▁"
 #: Characters of a text that give one state map.
 CHUNK = 1 << 13
-#: Words whose counts are kept, and their longest; states from which the tables start anew.
-KEPT, KEPT_LENGTH, STATES = 1 << 19, 48, 1 << 19
+#: Words, and pairs of tokens, of which what was found is kept, and the longest of these words; states from which their tables start anew.
+KEPT, KEPT_LENGTH, STATES = 1 << 18, 48, 1 << 17
 #: A space after another character.
 BOUNDARY, WORDS = re.compile("[^ ] "), re.compile("(?<=[^ ])(?= )")
 #: The trie's root; the token before a place where merges can't reach back.
@@ -114,13 +114,13 @@ class Transducer:
                 node = self.children[node][c]
             self.token[node] = piece
         self.stands_: dict[tuple[str, str], bool] = {}
+        self.words = Words(self)
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.next: list[dict[str, tuple[int, int]]] = []
-        self.words = Words(self)
         self.start = self.state(((ROOT, NONE, 0),))
         #: After a letter that merges can't reach; a space from here leads where it leads from any other character.
         self.letter = self.start
