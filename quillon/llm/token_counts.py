@@ -6,7 +6,8 @@ what comes before it (the two, merged on their own, stay two). So a prefix needs
 than the places from which a piece may still grow: at each the node of the vocabulary's trie, the
 last token before it and the difference of the counts. This is a state. A transition reads one
 character and carries the tokens that it emits: how many more the longer prefix has, which may be
-none or fewer. States and transitions are compiled when they are first met.
+none or fewer. States and transitions are compiled when they are first met, and kept while there is
+room.
 
 No piece has a space after another character, so after a space that follows one the state is always
 the same. A chunk of a text is therefore summarised by its state map: the part before its first such
@@ -32,14 +33,23 @@ from .common import without
 MARK = "▁"
 #: Characters of a text that give one state map.
 CHUNK = 1 << 13
-#: Words, and pairs of tokens, of which what was found is kept, and the longest of these words; states from which their tables start anew.
-KEPT, KEPT_LENGTH, STATES = 1 << 18, 48, 1 << 17
+#: Words, pairs of tokens and states of which what was found is kept, at most, and the longest of these words. The first ones met are common ones.
+WORDS, PAIRS, STATES, KEPT_LENGTH = 1 << 19, 1 << 18, 1 << 17, 48
 #: A space after another character.
-BOUNDARY, WORDS = re.compile("[^ ] "), re.compile("(?<=[^ ])(?= )")
+BOUNDARY, WORD_ENDS = re.compile("[^ ] "), re.compile("(?<=[^ ])(?= )")
 #: The trie's root; the token before a place where merges can't reach back.
 ROOT, NONE = 0, -1
 
 
+class State:
+    """The places from which a piece may still grow, and the transitions that were compiled: by character the next state and the tokens emitted."""
+
+    __slots__ = ("places", "next")
+
+    def __init__(self, places: tuple) -> None:
+        self.places, self.next = places, {}
+
+
 class ChunkMap(NamedTuple):
     """What a chunk does: head is read from the state before it; emitted counts the rest, and state is where that ends.
 
@@ -48,7 +58,7 @@ class ChunkMap(NamedTuple):
 
     head: str
     emitted: int
-    state: int | None
+    state: State | None
 
 
 class Vocabulary(NamedTuple):
@@ -88,9 +98,7 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.transducer.read(self.transducer.letter, " " + word)[1]
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.clear()
+        if len(word) <= KEPT_LENGTH and len(self) < WORDS:
             self[word] = n
         return n
 
@@ -115,38 +123,33 @@ class Transducer:
             self.token[node] = piece
         self.stands_: dict[tuple[str, str], bool] = {}
         self.words = Words(self)
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.next: list[dict[str, tuple[int, int]]] = []
+        self.states: dict[tuple, State] = {}
         self.start = self.state(((ROOT, NONE, 0),))
         #: After a letter that merges can't reach; a space from here leads where it leads from any other character.
         self.letter = self.start
 
-    def state(self, places: tuple) -> int:
-        if places not in self.ids:
-            self.ids[places] = len(self.states)
-            self.states.append(places)
-            self.next.append({})
-        return self.ids[places]
+    def state(self, places: tuple) -> State:
+        if (found := self.states.get(places)) is None:
+            found = State(places)
+            if len(self.states) < STATES:
+                self.states[places] = found
+        return found
 
     def stands(self, before: str | int, token: str) -> bool:
         """Whether a token stays apart from the one before it."""
         if before == NONE:
             return True
-        if (before, token) not in self.stands_:
-            if len(self.stands_) >= KEPT:
-                self.stands_.clear()
-            self.stands_[before, token] = self.vocabulary.merged([*before, *token]) == [before, token]
-        return self.stands_[before, token]
+        if (found := self.stands_.get((before, token))) is None:
+            found = self.vocabulary.merged([*before, *token]) == [before, token]
+            if len(self.stands_) < PAIRS:
+                self.stands_[before, token] = found
+        return found
 
-    def compiled(self, state: int, c: str) -> tuple[int, int]:
+    def compiled(self, state: State, c: str) -> tuple[State, int]:
         """The transition of a state by a character."""
         last, emitted, open_, read = None, 0, [], c
         c = MARK if c == " " else c
-        for node, before, count in self.states[state]:
+        for node, before, count in state.places:
             if (node := self.children[node].get(c)) is None:
                 continue
             open_.append((node, before, count))
@@ -155,26 +158,28 @@ class Transducer:
                 last, emitted = token, count + 1
         if last is None:
             # No piece ends here: the character stands for itself and is written as its bytes.
-            last, emitted = (c if c in self.children[ROOT] else NONE), self.states[state][-1][2] + len(c.encode())
+            last, emitted = (c if c in self.children[ROOT] else NONE), state.places[-1][2] + len(c.encode())
         if c == MARK:
             # Merges don't reach over a space to what isn't one.
             open_ = [(n, b if b == NONE or b[-1] == MARK else NONE, k) for n, b, k in open_]
         places = [(n, b, k - emitted) for n, b, k in open_ if self.children[n]]
-        found = self.state((*places, (ROOT, last, 0))), emitted
-        self.next[state][read] = found
+        after = (*places, (ROOT, last, 0))
+        found = self.state(after), emitted
+        if after in self.states:
+            state.next[read] = found
         return found
 
-    def read(self, state: int, text: str) -> tuple[int, int]:
+    def read(self, state: State, text: str) -> tuple[State, int]:
         """The state after a text, and the tokens emitted."""
         total = 0
         for c in text:
-            state, n = self.next[state].get(c) or self.compiled(state, c)
+            state, n = state.next.get(c) or self.compiled(state, c)
             total += n
         return state, total
 
     def emitted(self, text: str) -> int:
         """Tokens emitted by a text that starts with a boundary's space and ends before one."""
-        words = text[1:].split(" ") if "  " not in text else [w[1:] for w in WORDS.split(text)]
+        words = text[1:].split(" ") if "  " not in text else [w[1:] for w in WORD_ENDS.split(text)]
         return sum(map(self.words.__getitem__, words))
 
     def chunk(self, text: str) -> ChunkMap:
@@ -197,8 +202,6 @@ class Transducer:
         """Tokens of a whole text."""
         if not text:
             return 0
-        if len(self.states) > STATES:
-            self.reset()
         spaced = " " + text.replace(MARK, " ")
         maps = [self.chunk(spaced[i : i + chunk]) for i in range(0, len(spaced), chunk)]
         while len(maps) > 1:
