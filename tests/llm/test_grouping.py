@@ -336,3 +336,65 @@ def test_any_column_name(spark, name):
     docs = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` long")
     assert sorted((r.text, r[name]) for r in dedup_lines(docs, least_words=1).where("doc_id IS NOT NULL").collect()) == [("", 8), (rows[0][1], 7)]
     assert sorted(r[name] for r in drop_near_duplicates(docs).collect()) == [7, 8, 9]
+
+
+def stage_out(spark, name, docs):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name](spark, docs, "/root/testdata/sf0.001")
+
+
+@pytest.fixture
+def odd_docs(spark):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, and columns with names that operators use."""
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [(1, prose, None, 1), (1, prose, None, 1), (2, prose, "b", 2), (None, prose, "c", 3), (3, None, "d", 4), (4, "", None, 5), (5, " \t\n", "e", None), (None, None, None, None)]
+    rows += [(6, " ".join(f"long{i % 9973}x{i}" for i in range(60_000)), "f", 7), (7, "short", "g", 8)]
+    return spark.createDataFrame([(k, t, r, n, len(t or ""), r) for k, t, r, n in rows], "doc_id long, text string, row string, kept long, n_chars long, __id string")
+
+
+@pytest.mark.parametrize(("name", "want"), [
+    ("quality", [1, 1, 2, 6, None]), ("line_dedup", [1, 1, 3, 4, 5, 6, 7, None]), ("near_dedup", [1, 3, 6, 5, 7]), ("decontaminate", [1, 1, 2, 3, 4, 5, 6, 7, None, None]),
+])
+def test_stages_stand_odd_rows(spark, odd_docs, name, want):
+    out = stage_out(spark, name, odd_docs)
+    assert out.columns == odd_docs.columns and out.schema.simpleString() == odd_docs.schema.simpleString()
+    got = sorted((r.doc_id for r in out.collect()), key=str)
+    if name == "near_dedup":  # texts without words are equal to themselves only: null and empty are one, blank another
+        assert got == sorted([1, 3, 5, 6, 7], key=str)
+    else:
+        assert got == sorted(want, key=str)
+    assert stage_out(spark, name, odd_docs.limit(0)).count() == 0
+
+
+def test_packing_stands_odd_rows(spark, odd_docs):
+    pytest.importorskip("public_tokenizers")
+    rows = stage_out(spark, "packing", odd_docs).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 5, 6, 7, None} and sum(r.doc_id == 1 for r in rows) == 2 * sum(r.doc_id == 2 for r in rows)
+    assert stage_out(spark, "packing", odd_docs.limit(0)).count() == 0
+
+
+def test_similar_pairs_of_documents_are_all_found(spark):
+    """On real texts, of all pairs with a Jaccard similarity of 0.8 or more over five-word shingles, none is left."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def shingled(t):
+        w = [x for x in re.split("[ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def similar(rows):
+        sets, by = {k: shingled(t) for k, t in rows}, defaultdict(set)
+        for k, s in sets.items():
+            for x in s:
+                by[x].add(k)
+        pairs = {(a, b) for ks in by.values() for a in ks for b in ks if a < b}
+        return {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(similar(rows)) > 20
+    kept = {r.doc_id for r in drop_near_duplicates(docs).collect()}
+    assert not similar([(k, t) for k, t in rows if k in kept])
+    linked = {k for p in similar(rows) for k in p}
+    gone = {k for k, t in rows if k not in kept}
+    equal = {k for k, t in rows if sum(t == u for _, u in rows) > 1}
+    assert gone <= linked | equal  # nothing else goes
