@@ -10,7 +10,7 @@ import xxhash
 from quillon.llm.chat import chain, chat_digest, format_chats, read_back
 from quillon.llm.components import components
 from quillon.llm.line_dedup import dedup_lines, edit_distance, edit_similar, edits_by_words
-from quillon.llm.packing import pack, plan
+from quillon.llm.packing import cost, pack, plan
 from quillon.llm.simhash import MASKS, close_links, covering_masks, drop_near_duplicates, fingerprint, near_groups, simhash_digest
 
 
@@ -398,3 +398,34 @@ def test_similar_pairs_of_documents_are_all_found(spark):
     gone = {k for k, t in rows if k not in kept}
     equal = {k for k, t in rows if sum(t == u for _, u in rows) > 1}
     assert gone <= linked | equal  # nothing else goes
+
+
+def test_plan_is_near_the_optimum(rng):
+    """Costs of small cases against the least over all ways to share out the pieces, and against one size only."""
+
+    def optimum(pieces, sizes):
+        best = [float("inf")]
+        price = lambda used: cost(next(s for s in sizes if s >= used))
+
+        def place(i, bins, total):
+            if total >= best[0]:
+                return
+            if i == len(pieces):
+                best[0] = total
+                return
+            for k, used in enumerate(bins):
+                if used + pieces[i] <= sizes[-1] and used not in bins[:k]:
+                    place(i + 1, [*bins[:k], used + pieces[i], *bins[k + 1 :]], total - price(used) + price(used + pieces[i]))
+            place(i + 1, [*bins, pieces[i]], total + price(pieces[i]))
+
+        pieces = sorted(pieces, reverse=True)
+        place(0, [], 0)
+        return best[0]
+
+    sizes, ratios, single = (512, 1024, 2048, 4096), [], []
+    for _ in range(100):
+        pieces = [rng.randint(1, rng.choice((512, 4096))) for _ in range(rng.randint(1, 8))]
+        histogram, least = {p: pieces.count(p) for p in pieces}, optimum(pieces, sizes)
+        ratios.append(sum(n * cost(size) for _, n, size, _ in plan(histogram, sizes).bins) / least)
+        single.append(sum(n * cost(4096) for _, n, _, _ in plan(histogram, (4096,)).bins) / least)
+    assert min(ratios) > 0.999 and sum(ratios) < 105 and sum(single) > 1.5 * sum(ratios)

@@ -49,6 +49,19 @@ def test_pii_checks_and_context(spark):
     assert masked(df).where("doc_id = 2").first()["text"] == "ssn ***********"
 
 
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "write to some.body@example.org\n" * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert (pii_digest(df).first().n_email, masked(df).first()["text"].count("*")) == (n, 21 * n)
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(32_000) < 6 * took(8000) + 2
+
+
 def base_secrets(t):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or "", re.I | re.A):

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from quillon.llm import lm
-from quillon.llm.decontaminate import build_index, contamination, contamination_digest, covered, find_hits
+from quillon.llm.decontaminate import _parts, build_index, contamination, contamination_digest, covered, find_hits
 from quillon.llm.lm import scores
 from quillon.llm.quality import SIGNALS, estimate, judge_quality, more_signals, signals
 from quillon.llm.token_counts import token_counts, transducer
@@ -121,6 +121,21 @@ def test_decontamination_in_blocks(spark, rng, odd):
     assert contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_long_items_are_split_without_loss(rng):
+    text = " ".join(f"w{rng.randint(0, 50)}" for _ in range(3000)).encode()
+    windows = lambda t: {tuple(w[i : i + 10]) for w in [t.split()] for i in range(len(w) - 9)}
+    parts = list(_parts(text, 1500))
+    assert len(parts) > 5 and max(map(len, parts)) <= 3000 and set().union(*map(windows, parts)) == windows(text)
+    assert list(_parts(b"x" * 9000, 1500)) == [b"x" * 9000] and list(_parts(b"", 10)) == [b""]
+
+
+def test_index_is_small(rng):
+    import pickle
+
+    text = " ".join(f"w{rng.randint(0, 99999)}" for _ in range(50_000)).encode()
+    assert len(pickle.dumps(build_index([("1", text)]))) < 8 * len(text)
+
+
 def tokens(t):
     return re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) + [None]
 
