@@ -6,8 +6,8 @@ what comes before it (the two, merged on their own, stay two). So a prefix needs
 than the places from which a piece may still grow: at each the node of the vocabulary's trie, the
 last token before it and the difference of the counts. This is a state. A transition reads one
 character and carries the tokens that it emits: how many more the longer prefix has, which may be
-none or fewer. States and transitions are compiled when they are first met, and kept while there is
-room.
+none or fewer. States and transitions are compiled when they are first met; when their table is full it
+starts anew.
 
 No piece has a space after another character, so after a space that follows one the state is always
 the same. A chunk of a text is therefore summarised by its state map: the part before its first such
@@ -33,8 +33,8 @@ from .common import without
 MARK = "▁"
 #: Characters of a text that give one state map.
 CHUNK = 1 << 13
-#: Words, pairs of tokens and states of which what was found is kept, at most, and the longest of these words. The first ones met are common ones.
-WORDS, PAIRS, STATES, KEPT_LENGTH = 1 << 19, 1 << 18, 1 << 17, 48
+#: Words, pairs of tokens and states of which what was found is kept, at most, and the longest of these words.
+WORDS, PAIRS, STATES, KEPT_LENGTH = 1 << 19, 1 << 19, 1 << 18, 48
 #: A space after another character.
 BOUNDARY, WORD_ENDS = re.compile("[^ ] "), re.compile("(?<=[^ ])(?= )")
 #: The trie's root; the token before a place where merges can't reach back.
@@ -98,7 +98,9 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.transducer.read(self.transducer.letter, " " + word)[1]
-        if len(word) <= KEPT_LENGTH and len(self) < WORDS:
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= WORDS:
+                self.clear()
             self[word] = n
         return n
 
@@ -123,6 +125,9 @@ class Transducer:
             self.token[node] = piece
         self.stands_: dict[tuple[str, str], bool] = {}
         self.words = Words(self)
+        self.reset()
+
+    def reset(self) -> None:
         self.states: dict[tuple, State] = {}
         self.start = self.state(((ROOT, NONE, 0),))
         #: After a letter that merges can't reach; a space from here leads where it leads from any other character.
@@ -130,9 +135,7 @@ class Transducer:
 
     def state(self, places: tuple) -> State:
         if (found := self.states.get(places)) is None:
-            found = State(places)
-            if len(self.states) < STATES:
-                self.states[places] = found
+            found = self.states[places] = State(places)
         return found
 
     def stands(self, before: str | int, token: str) -> bool:
@@ -141,8 +144,9 @@ class Transducer:
             return True
         if (found := self.stands_.get((before, token))) is None:
             found = self.vocabulary.merged([*before, *token]) == [before, token]
-            if len(self.stands_) < PAIRS:
-                self.stands_[before, token] = found
+            if len(self.stands_) >= PAIRS:
+                self.stands_.clear()
+            self.stands_[before, token] = found
         return found
 
     def compiled(self, state: State, c: str) -> tuple[State, int]:
@@ -163,10 +167,7 @@ class Transducer:
             # Merges don't reach over a space to what isn't one.
             open_ = [(n, b if b == NONE or b[-1] == MARK else NONE, k) for n, b, k in open_]
         places = [(n, b, k - emitted) for n, b, k in open_ if self.children[n]]
-        after = (*places, (ROOT, last, 0))
-        found = self.state(after), emitted
-        if after in self.states:
-            state.next[read] = found
+        state.next[read] = found = self.state((*places, (ROOT, last, 0))), emitted
         return found
 
     def read(self, state: State, text: str) -> tuple[State, int]:
@@ -202,6 +203,8 @@ class Transducer:
         """Tokens of a whole text."""
         if not text:
             return 0
+        if len(self.states) >= STATES:
+            self.reset()
         spaced = " " + text.replace(MARK, " ")
         maps = [self.chunk(spaced[i : i + chunk]) for i in range(0, len(spaced), chunk)]
         while len(maps) > 1:
@@ -230,11 +233,12 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", limit: int = 4
     on every executor.
     """
 
-    @F.arrow_udf(T.LongType())
     def counted(texts: pa.Array) -> pa.Array:
         t = transducer(model)
         return pa.array([t.count(x) if x else 0 for x in texts.to_pylist()], pa.int64())
 
+    # Declared to vary so that filters on the count don't make Spark count twice.
+    udf = F.arrow_udf(counted, T.LongType()).asNondeterministic()
     kept = without(docs, ("n_bytes", "n_tokens", "over_limit"))
     n_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    return kept.select("*", n_bytes.alias("n_bytes"), counted(F.col(text)).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
+    return kept.select("*", n_bytes.alias("n_bytes"), udf(F.col(text)).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
