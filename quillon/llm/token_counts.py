@@ -35,7 +35,7 @@ MARK = "▁"
 #: Characters of a text that give one state map.
 CHUNK = 1 << 13
 #: Words, pairs of tokens and states of which what was found is kept, at most, and the longest of these words.
-WORDS, PAIRS, STATES, KEPT_LENGTH = 1 << 18, 1 << 18, 1 << 17, 48
+WORDS, PAIRS, STATES, KEPT_LENGTH = 1 << 19, 1 << 20, 1 << 19, 48
 #: A space after another character.
 BOUNDARY, WORD_ENDS = re.compile("[^ ] "), re.compile("(?<=[^ ])(?= )")
 #: The trie's root; the token before a place where merges can't reach back.
@@ -238,7 +238,6 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", limit: int = 4
         t = transducer(model)
         for texts in batches:
             yield pa.array([t.count(x) if x else 0 for x in texts.to_pylist()], pa.int64())
-        t.reset()  # a worker that waits for its next task holds words, but no states
 
     # Declared to vary so that filters on the count don't make Spark count twice.
     udf = F.arrow_udf(counted, T.LongType()).asNondeterministic()
